@@ -33,6 +33,8 @@ MARK, MARK_ID = "<|endoftext|>", 50256
 PIECE = 32_768
 #: Bytes of an unsplit run above which it is encoded by halves.
 RUN = 4_096
+#: Characters from the start of a part that may settle how it is split (a contraction of three).
+LOOK = 3
 
 
 def vocabulary(json_path: str) -> dict[bytes, int]:
@@ -101,14 +103,16 @@ class Codec:
     def join(self, left: tuple, right: tuple) -> tuple:
         """Join two encoded neighbours (text, places, ids), given by place: ids[n] belong to places[n].
 
-        What ends before the left text does is split rightly, as no part looks further than one character on.
-        From the start of its last part on, the window is split anew, a growing number of the right side's parts
-        with it, until one of the window's own cuts, short of its end, is one of the right side's.
+        A part is split rightly if it ends before its text does and starts ``LOOK`` or more characters before
+        that end, as the pattern looks one character past a part and three from its start on. From the left
+        side's first other part on, the window is split anew, a growing number of the right side's parts with
+        it, until one of the window's own cuts, as far from its end, is one of the right side's.
         """
         (a, cut_a, ids_a), (b, cut_b, ids_b) = left, right
         if not a or not b:
             return right if not a else left
-        at, n = cut_a[-1], 2
+        last = next(k for k, c in enumerate(cut_a) if c > len(a) - LOOK or k == len(cut_a) - 1)
+        at, n = cut_a[last], 2
         tail = a[at:]
         while True:
             j = min(len(cut_b), n)
@@ -117,7 +121,7 @@ class Codec:
             cuts = self.starts(window)
             right_of = {c: k for k, c in enumerate(cut_b[:j])}
             whole = j == len(cut_b)
-            meet = next((c for c in cuts if c >= len(tail) and (c - len(tail)) in right_of), None)
+            meet = next((c for c in cuts if c >= len(tail) and (c - len(tail)) in right_of and c + LOOK - 1 <= len(window)), None)
             if meet is None and not whole:
                 n *= 2
                 continue
@@ -125,8 +129,8 @@ class Codec:
             ends = own[1:] + [len(window) if meet is None else meet]
             ids = [self._run(window[c:e].encode()) for c, e in zip(own, ends, strict=True)]
             k = len(cut_b) if meet is None else right_of[meet - len(tail)]
-            cuts = cut_a[:-1] + [at + c for c in own] + [len(a) + c for c in cut_b[k:]]
-            return a + b, cuts, ids_a[:-1] + ids + ids_b[k:]
+            cuts = cut_a[:last] + [at + c for c in own] + [len(a) + c for c in cut_b[k:]]
+            return a + b, cuts, ids_a[:last] + ids + ids_b[k:]
 
     def piece(self, text: str) -> tuple:
         cuts = self.starts(text)
