@@ -20,11 +20,18 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def settle(df: DataFrame) -> DataFrame:
+#: Rows for each file of a settled table of known size.
+FILE_ROWS = 250_000
+
+
+def settle(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a single machine) a temporary folder is set up.
+    Only where that setting is absent (tests, a single machine) a temporary folder is set up. With a bound on
+    its rows, a small table is written to few files rather than to one for each shuffle partition.
     """
+    if most_rows is not None:
+        df = df.coalesce(max(6, -(-most_rows // FILE_ROWS)))
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="settle_"))

@@ -21,19 +21,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("a", F.col("low").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Map each node that has an edge to the smallest node of its component.
 
-    ``edges`` has long columns ``a`` and ``b``; loops and repeats are ignored. Returns ``node`` and ``root``
+    ``most_rows`` may bound the number of edges. ``edges`` has long columns ``a`` and ``b``; loops and repeats are ignored. Returns ``node`` and ``root``
     (a root maps to itself). Each round is two equi-joins on nodes and is checkpointed; the number of rounds
     grows with the logarithm of the longest path. No component is gathered in one task.
     """
-    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), most_rows)
     mark = None
     while True:
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark or not new[0]:
             break
         mark = new
-        now = settle(_small_star(_large_star(now)))
+        now = settle(_small_star(_large_star(now)), 2 * new[0])
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -186,8 +186,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives no row. Equal fingerprints are one node, so groups of copies cost one row each.
     """
     made = settle(fingerprints(docs))
-    nodes = settle(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(fingerprint_links(nodes.select("fp"), nodes.count()))
+    nodes = settle(made.groupBy("fp").agg(F.min("doc_id").alias("least")), made.count())
+    count = nodes.count()
+    roots = components(fingerprint_links(nodes.select("fp"), count), 10 * count)
     joined = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
     named = joined.groupBy("root").agg(F.min("least").alias("least_of_all"))
     linked = joined.join(named, "root").select("fp", "least_of_all")
