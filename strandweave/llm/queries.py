@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import bpe, secret_scan, simhash
+from strandweave.llm import bpe, language_id, mixing, secret_scan, simhash
 from strandweave.llm.common import read_table
 
 
@@ -15,6 +15,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -24,5 +32,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op6_bpe": op6_bpe, "op10_simhash": op10_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_mixing": op2_mixing,
+    "op5_language_id": op5_language_id,
+    "op6_bpe": op6_bpe,
+    "op10_simhash": op10_simhash,
+}
+#: The others have no SQL form on these tables; they are tested against brute force, a round trip or held-out rows.
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
