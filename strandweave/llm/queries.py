@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import bpe, language_id, mixing, secret_scan, simhash
+from strandweave.llm import bpe, language_id, license_scan, mixing, secret_scan, simhash
 from strandweave.llm.common import read_table
 
 
@@ -27,6 +27,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -37,6 +41,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
+    "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
 }
 #: The others have no SQL form on these tables; they are tested against brute force, a round trip or held-out rows.
