@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import bpe, language_id, license_scan, mixing, secret_scan, simhash
+from strandweave.llm import bpe, hash_search, language_id, license_scan, mixing, pivot_search, secret_scan, simhash
 from strandweave.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op4_hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_search.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents"))
 
@@ -39,8 +47,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
+    "op4_hash_search": op4_hash_search,
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
+    "op8_pivot_search": op8_pivot_search,
     "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
 }
