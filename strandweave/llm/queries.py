@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import bpe, hash_search, language_id, license_scan, mixing, pivot_search, secret_scan, simhash
+from strandweave.llm import bpe, hash_search, html_blocks, language_id, license_scan, mixing, pivot_search, secret_scan, simhash
 from strandweave.llm.common import read_table
 
 
@@ -31,6 +31,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op8_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.search(read_table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_hash_search": op4_hash_search,
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
+    "op7_html_blocks": op7_html_blocks,
     "op8_pivot_search": op8_pivot_search,
     "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
