@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import bpe, hash_search, html_blocks, language_id, license_scan, mixing, pivot_search, secret_scan, simhash
+from strandweave.llm import bpe, hash_search, html_blocks, language_id, license_scan, mixing, pivot_search, secret_scan, simhash, tool_calls
 from strandweave.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.format_messages(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_search.search(read_table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
+    "op3_tool_calls": op3_tool_calls,
     "op4_hash_search": op4_hash_search,
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
@@ -60,4 +65,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 #: The others have no SQL form on these tables; they are tested against brute force, a round trip or held-out rows.
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_tool_calls": tool_calls.ORACLE, "op2_mixing": mixing.ORACLE}
