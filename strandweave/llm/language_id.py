@@ -28,8 +28,8 @@ SYMBOLS = 127
 ENTRIES = 24_000_000
 #: A sure prediction needs no more evidence than that of so many bytes; see ``score``.
 EVIDENCE = 24
-#: Bits a byte above which a text is no language that was learned.
-FOREIGN = 5.5
+#: Bits a byte from which a text is no language that was learned: its model saves nothing over plain bytes.
+FOREIGN = 8.0
 #: Bytes looked up at a time.
 CHUNK = 1 << 19
 UNKNOWN = "und"
@@ -199,4 +199,4 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents in a language that was learned: not ``und``, nor coded as badly as a foreign one."""
     found = predict(docs, train(docs), docs.columns)
-    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_bits") <= FOREIGN)).select(*docs.columns)
+    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_bits") < FOREIGN)).select(*docs.columns)
