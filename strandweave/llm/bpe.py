@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import small_batches, with_row_id
+from strandweave.llm.common import as_many_parts, small_batches, with_row_id
 
 #: Fixed value: the splitting pattern of this family of vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -216,7 +216,7 @@ def encode_digests(docs: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
     pieces = segments.select("_row", "doc_id", "seg", "part", F.explode(starts).alias("seq")).select("_row", "doc_id", "seg", "seq", F.col("part").substr(F.col("seq") * piece + 1, F.lit(piece)).alias("piece"))
     dealt = pieces.repartition("_row", "seg", "seq")
     encoded = dealt.mapInArrow(_encode_pieces(path), "_row long, doc_id long, seg int, seq int, piece string, cuts binary, counts binary, ids binary")
-    return short.unionByName(encoded.groupBy("_row").applyInPandas(_join_pieces(path), DIGESTS))
+    return short.unionByName(as_many_parts(encoded.groupBy("_row").applyInPandas(_join_pieces(path), DIGESTS), docs))
 
 
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:

@@ -46,3 +46,8 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
 def join_small(left: DataFrame, right: DataFrame, on, how: str, right_rows: int, limit: int = 20_000) -> DataFrame:
     """Join, broadcasting the right side only if its counted rows are within the limit."""
     return left.join(F.broadcast(right) if right_rows <= limit else right, on, how)
+
+
+def as_many_parts(out: DataFrame, source: DataFrame) -> DataFrame:
+    """At most as many partitions as the source is read in, so that a row-wise result isn't left in crumbs."""
+    return out.coalesce(max(1, source._jdf.queryExecution().toRdd().getNumPartitions()))

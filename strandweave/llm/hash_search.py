@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import settle, small_batches
+from strandweave.llm.common import as_many_parts, settle, small_batches
 from strandweave.llm.vectors import classes, draw, finish, matrix, pack_ids, packed, query_classes, top_rows
 
 #: Vectors of the sample; bits of a code and of a substring; steps of learning a rotation; spreads of room.
@@ -185,4 +185,4 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     packs = dealt.groupBy("dim", "block").applyInPandas(_packer(coders), "dim int, block int, vecs binary, ids binary, counts binary, codes binary")
     small_batches(spark, 4)
     found = probes.join(packs, ["dim", "block"]).mapInArrow(_searcher(k + 1), "qid long, vec_id long, score double")
-    return finish(found, members, k)
+    return as_many_parts(finish(found, members, k), vectors)

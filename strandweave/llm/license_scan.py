@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import with_row_id
+from strandweave.llm.common import as_many_parts, with_row_id
 
 THRESHOLD = 0.8
 #: Words of a block taken from a long line, and from one such block's start to the next.
@@ -135,7 +135,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         F.array_sort(F.collect_set(F.when(hit, F.col("label")))).alias("more"),
         F.max(F.when(hit, shared / F.col("size"))).alias("best"),
     )
-    return out.select(
+    out = out.select(
         "doc_id",
         "n_words",
         "n_base",
@@ -145,3 +145,4 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         F.concat_ws(",", F.array_sort(F.array_union("base", "more"))).alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
+    return as_many_parts(out, docs)

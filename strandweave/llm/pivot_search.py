@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import settle, small_batches
+from strandweave.llm.common import as_many_parts, settle, small_batches
 from strandweave.llm.vectors import classes, draw, finish, matrix, pack_ids, packed, query_classes, top_rows
 
 #: Vectors of the sample that gives pivots, annuli and first bounds; pivots; annuli of a pivot.
@@ -186,4 +186,4 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     packs = dealt.groupBy(*keys).applyInPandas(_pack, "dim int, pivot int, ring int, chunk int, vecs binary, ids binary, counts binary, far binary")
     small_batches(spark, 4)
     found = blocks.join(packs, keys).mapInArrow(_searcher(k + 1), "qid long, vec_id long, score long")
-    return finish(found, members, k)
+    return as_many_parts(finish(found, members, k), vectors)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import small_batches, with_row_id
+from strandweave.llm.common import as_many_parts, small_batches, with_row_id
 
 #: Kinds in the order in which ties of place are listed.
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
@@ -104,7 +104,7 @@ def scan(docs: DataFrame) -> DataFrame:
     out = part.groupBy("_row").agg(*[F.first(c).alias(c) for c in head[1:]], F.sort_array(F.collect_list(kept)).alias("found"))
     name = F.array(*[F.lit(k) for k in KINDS])
     spans = F.concat_ws(",", F.transform("found", lambda p: F.concat_ws(":", F.get(name, p["rank"]), p["start"], p["stop"])))
-    return out.withColumn("spans", spans)
+    return as_many_parts(out.withColumn("spans", spans), docs)
 
 
 def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
@@ -124,7 +124,7 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     out = merged.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.array_join(pieces, mark)))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*columns)
+    return as_many_parts(out.select(*columns), docs)
 
 
 def _merge(column: str):

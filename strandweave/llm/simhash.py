@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import settle, small_batches, with_row_id
+from strandweave.llm.common import as_many_parts, settle, small_batches, with_row_id
 from strandweave.llm.graph import components
 
 RADIUS = 4
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = joined.groupBy("root").agg(F.min("least").alias("least_of_all"))
     linked = joined.join(named, "root").select("fp", "least_of_all")
     named_nodes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least_of_all", "least").alias("component_id"))
-    return made.join(named_nodes, "fp").select("_row", "doc_id", "fp", "component_id")
+    return as_many_parts(made.join(named_nodes, "fp").select("_row", "doc_id", "fp", "component_id"), docs)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
@@ -201,4 +201,4 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     keep = found.groupBy(F.coalesce("component_id", F.lit(-1)).alias("g"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best"))
     rows = keep.select(F.col("best._row").alias("_row"))
-    return with_row_id(docs, "_row").join(rows, "_row", "left_semi").drop("_row")
+    return as_many_parts(with_row_id(docs, "_row").join(rows, "_row", "left_semi").drop("_row"), docs)

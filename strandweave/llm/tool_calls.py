@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import settle, small_batches, with_row_id
+from strandweave.llm.common import as_many_parts, settle, small_batches, with_row_id
 
 #: Argument schemas by tool name, in the part of JSON Schema that ``problems`` checks. Production parameter.
 SCHEMAS = {
@@ -196,7 +196,7 @@ def format_messages(conversations: DataFrame, schemas: dict | None = None) -> Da
         F.when(F.col("result").isNotNull(), result).otherwise(""), F.when(F.col("n_calls") > 0, calls).otherwise(""), F.lit("}"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return joined.select("conv_id", "turn", "role", message.alias("message"), zero("n_calls"), zero("n_linked"), zero("n_wrong"), F.col("result.state").alias("state"))
+    out = joined.select("conv_id", "turn", "role", message.alias("message"), zero("n_calls"), zero("n_linked"), zero("n_wrong"), F.col("result.state").alias("state"))
 
 
 #: For tables without tool calls, such as the test tables: each message as it stands.
