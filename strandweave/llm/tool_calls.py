@@ -197,6 +197,7 @@ def format_messages(conversations: DataFrame, schemas: dict | None = None) -> Da
     )
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     out = joined.select("conv_id", "turn", "role", message.alias("message"), zero("n_calls"), zero("n_linked"), zero("n_wrong"), F.col("result.state").alias("state"))
+    return as_many_parts(out, conversations)
 
 
 #: For tables without tool calls, such as the test tables: each message as it stands.
