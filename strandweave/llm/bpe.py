@@ -134,7 +134,8 @@ class Codec:
 
     def piece(self, text: str) -> tuple:
         cuts = self.starts(text)
-        return text, cuts, [self._run(text[c:e].encode()) for c, e in zip(cuts, cuts[1:] + [len(text)], strict=True)]
+        ends = cuts[1:] + [len(text)] if cuts else []
+        return text, cuts, [self._run(text[c:e].encode()) for c, e in zip(cuts, ends, strict=True)]
 
     def tree(self, pieces: list[tuple]) -> tuple:
         """Join encoded neighbours pairwise until one is left."""

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 TEXT_BATCH_ROWS = 1000
 
 
+#: A row id beside columns that are not ours, and so what ours are called there.
+ROW = "__sw_row"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

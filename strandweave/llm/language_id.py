@@ -171,7 +171,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of all rows with ``_lang``, ``_score`` and ``_bits`` (bits a byte), from the text alone.
+    """The columns ``keep`` of all rows with ``__sw_lang``, ``__sw_score`` and ``__sw_bits`` (bits a byte), from the text alone.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text if nothing was learned.
     Repeated rows get equal results; an empty table gives none; a doc_id is not looked at.
@@ -183,20 +183,20 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for b in batches:
             lang, score, bits = shared.value.predict(b.column(b.schema.get_field_index("text")))
             kept = [b.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], [*keep, "_lang", "_score", "_bits"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], [*keep, "__sw_lang", "__sw_score", "__sw_bits"])
 
     rows = docs.withColumn("text", F.col("text").cast("string")).select(*keep, *([] if "text" in keep else ["text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(run, f"{schema}, _lang string, _score double, _bits double")
+    return rows.mapInArrow(run, f"{schema}, __sw_lang string, __sw_score double, __sw_bits double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document row; see ``predict``."""
     found = predict(docs.withColumn("doc_id", F.col("doc_id").cast("long")), train(docs), ["doc_id"])
-    return found.select("doc_id", held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return found.select("doc_id", held_out().alias("held_out"), F.col("__sw_lang").alias("lang_pred"), F.col("__sw_score").alias("score"))
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents in a language that was learned: not ``und``, nor coded as badly as a foreign one."""
     found = predict(docs, train(docs), docs.columns)
-    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_bits") < FOREIGN)).select(*docs.columns)
+    return found.where((F.col("__sw_lang") != UNKNOWN) & (F.col("__sw_bits") < FOREIGN)).select(*docs.columns)

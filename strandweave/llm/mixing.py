@@ -98,11 +98,11 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents as the mix takes them: left out, once, or repeated, with all their columns."""
     found, count = thresholds(settle(sized(docs)))
-    found = found.select(F.col("source").alias("_source"), "_whole", "_below")
-    hashed = docs.withColumn("_h", document_hash())
-    joined = join_small(hashed, found, hashed["source"].eqNullSafe(found["_source"]), "inner", count)
-    copies = F.col("_whole") + F.when(F.col("_h") < F.col("_below"), 1).otherwise(0)
-    return joined.select(*[hashed[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).drop("_copy")
+    found = found.select(F.col("source").alias("__sw_source"), F.col("_whole").alias("__sw_whole"), F.col("_below").alias("__sw_below"))
+    hashed = docs.withColumn("__sw_h", document_hash())
+    joined = join_small(hashed, found, hashed["source"].eqNullSafe(found["__sw_source"]), "inner", count)
+    copies = F.col("__sw_whole") + F.when(F.col("__sw_h") < F.col("__sw_below"), 1).otherwise(0)
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias("__sw_copy")).drop("__sw_copy")
 
 
 ORACLE = rf"""

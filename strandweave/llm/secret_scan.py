@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import as_many_parts, small_batches, with_row_id
+from strandweave.llm.common import ROW, as_many_parts, small_batches, with_row_id
 
 #: Kinds in the order in which ties of place are listed.
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
@@ -114,16 +114,16 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """
     columns = docs.columns
     spans = F.filter("found", lambda p: p["rank"] != KINDS.index("endpoint"))
-    hits = scan(docs).select("_row", spans.alias("_found")).where(F.size("_found") > 0)
-    joined = with_row_id(docs, "_row").join(hits, "_row", "left")
-    merged = joined.withColumn("_found", F.when(F.col("_found").isNotNull(), _merge("_found")))
+    hits = scan(docs).select(F.col("_row").alias(ROW), spans.alias("__sw_found")).where(F.size("__sw_found") > 0)
+    joined = with_row_id(docs, ROW).join(hits, ROW, "left")
+    merged = joined.withColumn("__sw_found", F.when(F.col("__sw_found").isNotNull(), _merge("__sw_found")))
     # Pieces of text between the spans: each runs from the end of the span before it to the start of its own.
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_found", lambda p: p["stop"]))
-    stops = F.concat(F.transform("_found", lambda p: p["start"]), F.array(F.length("text").cast("long")))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("__sw_found", lambda p: p["stop"]))
+    stops = F.concat(F.transform("__sw_found", lambda p: p["start"]), F.array(F.length("text").cast("long")))
     pieces = F.zip_with(starts, stops, lambda a, b: F.col("text").substr((a + 1).cast("int"), (b - a).cast("int")))
-    out = merged.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.array_join(pieces, mark)))
+    out = merged.withColumn("text", F.when(F.col("__sw_found").isNull(), F.col("text")).otherwise(F.array_join(pieces, mark)))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("__sw_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return as_many_parts(out.select(*columns), docs)
 
 
