@@ -1,0 +1,298 @@
+"""Corpus operators on documents against brute force, with awkward rows."""
+
+import hashlib
+import random
+import re
+from itertools import combinations
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from strandweave.llm import bpe, language_id, license_scan, mixing, secret_scan, simhash
+from strandweave.llm.graph import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _row string, size string, found string"
+AWKWARD = [
+    (1, None, None, None), (2, "", "en", "a"), (3, "   \n\t ", "en", "a"), (None, "the cat and the dog", "en", None), (4, "The cat\nThe cat", "en", "a"),
+    (4, "The cat\nThe cat", "en", "a"), (5, "word " * 30_000, "en", "b"), (6, "x" * 50_000, "de", "b"), (7, "\U0001f642 漢字 é ß", None, "ü"), (8, "12 34 !!", "fr", "Z"),
+]
+
+
+def table(spark, rows):
+    """Documents with further columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), "x", "y", "z") for i, t, lang, s in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return table(spark, AWKWARD)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return table(spark, [])
+
+
+def plain_fingerprint(text):
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] if len(words) >= 4 else [" ".join(words)] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints):
+    """Smallest id reachable over links of at most four bits, by comparing all."""
+    root = list(range(len(prints)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(range(len(prints)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 4:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(prints))]
+
+
+def test_simhash_matches_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    prints = [plain_fingerprint(t) for _, t in rows]
+    groups = plain_components(prints)
+    assert got == {i: (p, rows[g][0]) for (i, _), p, g in zip(rows, prints, groups, strict=True)}
+
+
+@pytest.mark.parametrize("chain", [2, 3, 4])
+def test_chain_keys_meet_every_linked_pair(chain):
+    rng, masks = random.Random(chain), simhash.key_masks(chain)
+    for _ in range(3000):
+        x = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))
+        held = [s for s, m in masks if not x & m]
+        assert held
+        ring = simhash.ring()
+        ok = [s for s in range(5) if all(sum((x & ring[(s + n) % 5]).bit_count() for n in range(k + 1)) <= (k + 1) * 4 // 5 for k in range(5))]
+        assert set(ok) & set(held)
+
+
+def test_simhash_links_dense_groups_and_chains(spark):
+    rng = random.Random(1)
+    base = rng.getrandbits(64)
+    prints = [base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for _ in range(300)] + [rng.getrandbits(64) for _ in range(200)]
+    prints = sorted(set(prints))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    edges = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in signed], "fp long"), len(signed))
+    roots = {r.node: r.root for r in components(edges).collect()}
+    groups = plain_components(prints)
+    by_root, by_group = {}, {}
+    for n, p in enumerate(signed):
+        by_root.setdefault(roots.get(p, p), set()).add(n)
+        by_group.setdefault(groups[n], set()).add(n)
+    assert sorted(map(sorted, by_root.values())) == sorted(map(sorted, by_group.values()))
+
+
+def test_simhash_awkward(awkward, nothing):
+    got = simhash.near_duplicates(awkward).collect()
+    assert len(got) == len(AWKWARD)
+    assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}  # no word: fingerprint zero
+    kept = simhash.first_of_each(awkward)
+    assert kept.columns == awkward.columns and sorted(r.doc_id for r in kept.where("doc_id = 4").collect()) == [4]
+    assert simhash.near_duplicates(nothing).count() == 0 and simhash.first_of_each(nothing).count() == 0
+
+
+def plain_spans(text):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def test_secret_base_spans(spark):
+    rng = random.Random(2)
+    parts = ["password", "PassWD", "token", "api_key", "apikey", '"', "'", " ", ":", "=", "AKIA", "ABCDEFGH1234", "deadbeef", "0123456789abcdef" * 2, "hunter22", "x", "\n\n", "é", "secret: ", "kKſ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    for t in texts:
+        assert [p[:3] for p in secret_scan.find_parts(t) if p[1] < 3] == plain_spans(t)
+    got = {r.doc_id: r for r in secret_scan.scan(table(spark, [(n, t, "en", "a") for n, t in enumerate(texts)])).collect()}
+    for n, t in enumerate(texts):
+        want = plain_spans(t)
+        joined = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert got[n].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(filter(None, joined.split(","))) <= set(got[n].spans.split(","))
+
+
+def test_weak_parts_need_each_other(spark):
+    key = "aB3" + "xYz9" * 9 + "k"
+    assert len(key) == 40
+    rows = [(1, f"see {key} here"), (2, f"username=alice and {key}"), (3, f"username=alice\n\n{key}"), (4, f"username=alice {'word ' * 200}{key}"), (5, f"https://a.example/x {key}"), (6, "username=alice at https://a.example/")]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    kinds = {i: [p.split(":")[0] for p in s.split(",") if p] for i, s in got.items()}
+    assert kinds == {1: [], 2: ["ident", "key"], 3: [], 4: [], 5: ["endpoint", "key"], 6: []}
+
+
+def test_secrets_awkward_and_redaction(awkward, nothing, spark):
+    assert secret_scan.scan(awkward).count() == len(AWKWARD) and secret_scan.scan(nothing).count() == 0
+    secret = 'a é token = "0123456789abcdef0123456789abcdef" z'
+    d = table(spark, [*AWKWARD, (9, secret, "en", "a"), (9, secret, "en", "a")])
+    out = secret_scan.redact(d)
+    assert out.columns == d.columns and out.count() == len(AWKWARD) + 2
+    assert [(r.text, r.n_chars) for r in out.where("doc_id = 9").collect()] == [('a é <secret>" z', 15)] * 2
+    assert out.where("doc_id <> 9").exceptAll(awkward.where("doc_id <> 9")).count() == 0
+
+
+def test_mix_meets_targets(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = mixing.mix(docs).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs).collect()))
+    sizes = {r.doc_id: len((r.text or "").split()) for r in docs.collect()}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    names = sorted(set(source.values()))
+    total = {s: sum(n for i, n in sizes.items() if source[i] == s) for s in names}
+    weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(names)}
+    target, free, rest = {}, set(names), 1.5 * sum(total.values())
+    while free:
+        over = {s for s in free if rest * weight[s] / sum(weight[x] for x in free) > 2 * total[s]}
+        if not over:
+            target |= {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+            break
+        target |= {s: 2.0 * total[s] for s in over}
+        rest -= sum(2 * total[s] for s in over)
+        free -= over
+    taken = dict.fromkeys(names, 0)
+    for r in rows:
+        assert r.size == sizes[r.doc_id] and r.target == pytest.approx(target[source[r.doc_id]]) and r.taken in (0, r.size, 2 * r.size)
+        taken[source[r.doc_id]] += r.taken
+    largest = {s: max(sizes[i] for i in sizes if source[i] == s) for s in names}
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 for s in names)
+
+
+def test_mix_awkward(awkward, nothing, spark):
+    got = mixing.mix(awkward).collect()
+    assert len(got) == len(AWKWARD) and all(r.taken <= 2 * r.size for r in got)
+    assert mixing.mix(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
+    empty = table(spark, [(1, "", "en", "a"), (2, None, "en", "b")])
+    assert {(r.size, r.target, r.taken) for r in mixing.mix(empty).collect()} == {(0, 0.0, 0)}
+    out = mixing.mixed(awkward)
+    assert out.columns == awkward.columns
+    words = out.select(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
+    assert words == sum(r.taken for r in got)
+
+
+def test_language_code_lengths_are_those_of_the_trees():
+    """A straightforward walk down the contexts gives the table's code lengths."""
+    import math
+
+    import pandas as pd
+    import pyarrow as pa
+
+    text = "abracadabra abba"
+    counts = {}
+    for i in range(len(text)):
+        gram = ("\0\0\0" + text)[i : i + 4]
+        key = sum(ord(c) << 8 * (3 - n) for n, c in enumerate(gram))
+        counts[key] = counts.get(key, 0) + 3
+    model = language_id.Model(pd.DataFrame({"lang": "x", "key": list(counts), "n": list(counts.values())}))
+
+    symbols = {c: int(model.symbol[ord(c)]) for c in text}
+    grams = [("\0\0\0" + text)[i : i + 4] for i in range(len(text))]
+
+    def prob(context, s):
+        if context is None:
+            return [1 / model.a] * model.a
+        seen = [0] * model.a
+        for g in grams:
+            if g[3 - len(context) : 3] == context:
+                seen[symbols[g[3]]] += 3
+        lower = prob(context[1:] if context else None, s)
+        if not sum(seen):
+            return lower
+        kinds = sum(c > 0 for c in seen)
+        rest = sum(p for p, c in zip(lower, seen, strict=True) if not c)
+        escape = kinds / (sum(seen) + kinds) if rest > 0 else 0
+        return [c / sum(seen) * (1 - escape) if c else escape * p / rest for c, p in zip(seen, lower, strict=True)]
+
+    probe = "abra cab"
+    want = sum(-math.log2(prob(("\0\0\0" + probe)[i : i + 3], None)[symbols[c]]) for i, c in enumerate(probe))
+    assert model.lengths(pa.array([probe, None, ""]))[0][:, 0].tolist() == pytest.approx([want, 0, 0], rel=1e-5)
+    every = prob("abr", None)
+    assert sum(every) == pytest.approx(1)
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    right, count = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
+    assert count > 200 and right > 0.98
+
+
+def test_language_awkward(awkward, nothing, spark):
+    got = {(r.doc_id, r.lang_pred == "und") for r in language_id.identify(awkward).collect()}
+    assert {(1, True), (2, True), (3, True), (8, True), (5, False)} <= got
+    assert language_id.identify(nothing).count() == 0
+    unlabelled = awkward.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in language_id.identify(unlabelled).collect()} == {"und"}
+    assert language_id.accepted(awkward).columns == awkward.columns
+
+
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return path, Tokenizer.from_file(path)
+
+
+def test_bpe_equals_the_library(spark, awkward, nothing):
+    path, t = tokenizer()
+    special = [(20, "a<|endoftext|>b"), (21, "<|endoftext|>" * 3), (22, "don't we'll 'll\n\n  x  <|endoftext|>" * 900), (23, "漢字" * 9000), (24, " " * 9000 + "x"), (25, "'" * 9000 + "ll" * 3000)]
+    docs = table(spark, [*AWKWARD, *[(i, x, "en", "a") for i, x in special]])
+    want = sorted((i or -1, len(e.ids), hashlib.sha256(",".join(map(str, e.ids)).encode()).hexdigest(), hashlib.sha256(t.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()) for i, x in [*[(r[0], r[1]) for r in AWKWARD], *special] for e in [t.encode(x or "", add_special_tokens=False)])
+    for piece in (1000, bpe.PIECE):
+        got = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_digests(docs, path, piece).collect())
+        assert got == want
+    assert bpe.encode_digests(nothing, path).count() == 0
+
+
+def test_bpe_trees_of_tiny_pieces(monkeypatch):
+    path, t = tokenizer()
+    c, rng = bpe.Codec(path), random.Random(3)
+    monkeypatch.setattr(bpe, "RUN", 16)
+    alphabet = ["a", "the", " ", "  ", "\n", "'", "s", "'ll", "1", "23", "!", "é", " the", "\t", "ing", "漢字", "🙂", "_"]
+    for _ in range(1500):
+        text = "".join(rng.choice(alphabet) if rng.random() < 0.8 else rng.choice("ab ") * rng.randint(1, 40) for _ in range(rng.randint(0, 40)))
+        n = rng.choice([1, 2, 3, 7])
+        ids = [i for x in c.tree([c.piece(text[i : i + n]) for i in range(0, len(text), n)])[2] for i in x]
+        assert ids == t.encode(text, add_special_tokens=False).ids
+
+
+def plain_licenses(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+    at = [(i, label) for phrase, label in license_scan.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    labels, best = {x for _, x in at}, 0.0
+    for line in low.split("\n"):
+        own = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", line)
+        for block in [own] if len(own) <= 64 else [own[i : i + 64] for i in range(0, len(own), 32)]:
+            for label, template in license_scan.TEMPLATES:
+                t = set(template.split())
+                if len(t & set(block)) >= 0.8 * len(t) - 1e-9:
+                    labels.add(label)
+                    best = max(best, len(t & set(block)) / len(t))
+    return len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at})), ",".join(sorted(labels)), 1.0 if at else best
+
+
+def test_licenses_match_brute_force(spark, data, nothing):
+    rng = random.Random(4)
+    pool = [w for _, t in license_scan.TEMPLATES for w in t.split()] + ["Der", "é", "x-y", "MIT License", "CC-BY", "\n", "\n", "mit", "license"]
+    made = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 150))) for _ in range(80)]
+    made += [f"intro\n{t.upper()}. more" for _, t in license_scan.TEMPLATES] + ["All rights", "the MIT\nlicense", "gnu general public licenses", "xmit license"]
+    rows = [*[(r[0], r[1]) for r in AWKWARD], *enumerate(made, 100)]
+    rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    got = license_scan.scan(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+    key = lambda x: repr(x)
+    want = sorted(((i, *plain_licenses(t)) for i, t in rows), key=key)
+    assert sorted((tuple(r) for r in got), key=key) == want
+    assert license_scan.scan(nothing).count() == 0
