@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -17,6 +18,14 @@ def reach_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = ":".join(filter(None, [ROOT, environment.get("PYTHONPATH", "")]))
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one if unset."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="settle_"))
+    return df.checkpoint(eager=True)
+
+
 def local_session(name: str = "strandweave", cores: int | None = None, partitions: int | None = None, memory: str = "8g") -> SparkSession:
     """A session on this machine, with as many shuffle partitions as cores."""
     cores = cores or os.cpu_count() or 4
