@@ -146,3 +146,35 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
     return as_many_parts(out, docs)
+
+
+def _sql_places() -> str:
+    """Starts of each phrase among the words, as DuckDB finds them."""
+    rows = []
+    for phrase, label in PHRASES:
+        words = phrase.split()
+        same = " and ".join(f"w[i + {n}] = '{x}'" for n, x in enumerate(words, 1))
+        rows.append(f"select r, '{label}' as label, unnest(list_filter(range(0, len(w) - {len(words) - 1}), lambda i: {same})) as place from d")
+    return " union all ".join(rows)
+
+
+def _sql_templates() -> str:
+    return ", ".join(f"('{label}', string_split('{text}', ' '))" for label, text in TEMPLATES)
+
+
+#: Every block is counted against every template, without any filter.
+ORACLE = rf"""
+with d as (
+  select row_number() over () as r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low, regexp_extract_all(low, '{WORD}') as w from documents),
+b as (select r, count(*) as n_base, min(place) as first_word, max(place) as last_word, list(distinct label) as base from ({_sql_places()}) group by r),
+line as (select r, regexp_extract_all(unnest(string_split(low, chr(10))), '{WORD}') as x from d),
+block as (
+  select distinct r, list_sort(list_distinct(unnest(case when len(x) <= {BLOCK} then [x] else list_transform(range(0, len(x), {STEP}), lambda i: x[i + 1:i + {BLOCK}]) end))) as x from line where len(x) > 0),
+t as (select label, list_distinct(words) as words from (values {_sql_templates()}) v(label, words)),
+c as (select r, label, len(list_intersect(t.words, block.x)) as shared, len(t.words) as size from block, t),
+h as (select r, max(shared / size) as best, list(distinct label) as more from c where shared >= ceil({THRESHOLD} * size - 1e-9) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  array_to_string(list_sort(coalesce(base, [])), ',') as base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ',') as labels,
+  case when n_base > 0 then 1.0 else coalesce(best, 0) end::double as score
+from d left join b using (r) left join h using (r)
+"""

@@ -187,3 +187,15 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     small_batches(spark, 4)
     found = blocks.join(packs, keys).mapInArrow(_searcher(k + 1), "qid long, vec_id long, score long")
     return as_many_parts(finish(found, members, k), vectors)
+
+
+#: Every query against every row; doubles hold these whole numbers exactly.
+ORACLE = f"""
+with v as (
+  select distinct vec_id::bigint as vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)) as x from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, v.vec_id, list_inner_product(q.x, v.x)::bigint as score
+  from v q join v on q.vec_id <> v.vec_id and len(q.x) = len(v.x) where q.vec_id % 100 = 0)
+select query_id, rank, vec_id, score from (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from s) where rank <= 10
+"""

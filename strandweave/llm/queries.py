@@ -65,4 +65,10 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 #: The others have no SQL form on these tables; they are tested against brute force, a round trip or held-out rows.
-ORACLES: dict[str, str] = {"op3_tool_calls": tool_calls.ORACLE, "op2_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": secret_scan.ORACLE,
+    "op2_mixing": mixing.ORACLE,
+    "op3_tool_calls": tool_calls.ORACLE,
+    "op8_pivot_search": pivot_search.ORACLE,
+    "op9_license_scan": license_scan.ORACLE,
+}

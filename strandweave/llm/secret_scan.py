@@ -141,3 +141,52 @@ def _merge(column: str):
             ),
         ).otherwise(F.concat(acc, F.array(F.struct(p["start"].alias("start"), p["rank"].alias("rank"), p["stop"].alias("stop"))))),
     )
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _sql_kinds() -> str:
+    """All candidates of each kind with what must be long enough of them, as DuckDB finds them."""
+    value = r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    name = r"""["'']?\x20?[:=]\x20?["'']?[A-Za-z0-9@._-]{3,}"""
+    mixed = r"regexp_matches({0}, '[0-9]') and regexp_matches({0}, '[A-Z]') and regexp_matches({0}, '[a-z]')"
+    kinds = (
+        (f"({_either_case('password|passwd|secret|token|api_?key')}){value}", 2, "length({0}) >= 8"),
+        ("AKIA[A-Z0-9]+", 0, "length({0}) >= 16"),
+        ("[0-9a-f]+", 0, "length({0}) >= 32"),
+        (f"(?:{_either_case('user')}(?:{_either_case('name')})?|{_either_case('login|account|client_id|key_id')}){name}", 0, "true"),
+        ("[A-Za-z0-9+/]+", 0, f"length({{0}}) = 40 and {mixed}"),
+        (r"(?:[a-z][a-z0-9+.-]{1,15}://[^\s\"''<>]+|arn:aws:[^\s\"''<>]+)", 0, "true"),
+    )
+    rows = []
+    for rank, (pattern, group, test) in enumerate(kinds):
+        values = f"regexp_extract_all(t, '{pattern}', {group})"
+        rows.append(
+            f"select r, {rank} as rank, '{ROLES[KINDS[rank]]}' as part, regexp_extract_all(t, '{pattern}') as hit, string_split_regex(t, '{pattern}') as gap, "
+            f"list_filter(range(1, len(hit) + 1), lambda i: {test.format('vals[i]')}) as good from (select *, {values} as vals from d)"
+        )
+    return " union all ".join(rows)
+
+
+#: Places follow from the texts between the matches; each part is compared with every other in its scope.
+ORACLE = rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+m as ({_sql_kinds()}),
+i as (select r, rank, part, hit, gap, unnest(good) as i from m),
+s as (
+  select r, rank, part, length(hit[i]) as n,
+    (coalesce(list_sum(list_transform(gap[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hit[1:i-1], lambda x: length(x))), 0))::bigint as start from i),
+p as (select s.*, start + n as stop, len(regexp_extract_all(left(t, start), '
+[ 	
+]*
+')) as scope from s join d using (r)),
+l as (
+  select distinct a.r, a.rank, a.start from p a join p b on a.r = b.r and a.scope = b.scope and (a.part = 's') <> (b.part = 's')
+  where case when (b.start, b.rank) < (a.start, a.rank) then a.start - b.stop else b.start - a.stop end <= {REACH}),
+k as (select p.*, [{", ".join(f"'{x}'" for x in KINDS)}][rank + 1] || ':' || start || ':' || stop as span from p left join l using (r, rank, start) where rank < 3 or l.r is not null)
+select d.doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex,
+  sha256(coalesce(string_agg(span, ',' order by start, rank) filter (rank < 3), '')) as base_sha256, coalesce(string_agg(span, ',' order by start, rank), '') as spans
+from d left join k using (r) group by d.r, d.doc_id
+"""
