@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,32 +116,33 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     columns = docs.columns
     spans = F.filter("found", lambda p: p["rank"] != KINDS.index("endpoint"))
     hits = scan(docs).select(F.col("_row").alias(ROW), spans.alias("__sw_found")).where(F.size("__sw_found") > 0)
-    joined = with_row_id(docs, ROW).join(hits, ROW, "left")
-    merged = joined.withColumn("__sw_found", F.when(F.col("__sw_found").isNotNull(), _merge("__sw_found")))
-    # Pieces of text between the spans: each runs from the end of the span before it to the start of its own.
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("__sw_found", lambda p: p["stop"]))
-    stops = F.concat(F.transform("__sw_found", lambda p: p["start"]), F.array(F.length("text").cast("long")))
-    pieces = F.zip_with(starts, stops, lambda a, b: F.col("text").substr((a + 1).cast("int"), (b - a).cast("int")))
-    out = merged.withColumn("text", F.when(F.col("__sw_found").isNull(), F.col("text")).otherwise(F.array_join(pieces, mark)))
+    out = with_row_id(docs, ROW).join(hits, ROW, "left")
+    clean, text = F.col("__sw_found").isNull(), F.col("text").cast("string")
+    # Only texts with a span go to the kernel; the others are null there.
+    masked = _masker(mark)(F.when(~clean, text), F.col("__sw_found.start"), F.col("__sw_found.stop"))
+    out = out.withColumn("text", F.when(clean, text).otherwise(masked))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("__sw_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return as_many_parts(out.select(*columns), docs)
 
 
-def _merge(column: str):
-    """The union of overlapping spans, by place."""
-    none = F.array().cast("array<struct<start:long,rank:int,stop:long>>")
-    return F.aggregate(
-        column,
-        none,
-        lambda acc, p: F.when(
-            (F.size(acc) > 0) & (p["start"] < F.element_at(acc, -1)["stop"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), p["rank"].alias("rank"), F.greatest(F.element_at(acc, -1)["stop"], p["stop"]).alias("stop"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(p["start"].alias("start"), p["rank"].alias("rank"), p["stop"].alias("stop"))))),
-    )
+def masked_text(text: str, starts: list[int], stops: list[int], mark: str) -> str:
+    """The text with the union of the spans, given by place, replaced: one mark for spans that overlap."""
+    out, at = [], 0
+    for start, stop in zip(starts, stops, strict=True):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, stop)
+    return "".join([*out, text[at:]])
+
+
+def _masker(mark: str):
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+        rows = zip(texts, starts, stops, strict=True)
+        return pd.Series([None if t is None else masked_text(t, a.tolist(), b.tolist(), mark) for t, a, b in rows], dtype=object)
+
+    return masked
 
 
 def _either_case(words: str) -> str:

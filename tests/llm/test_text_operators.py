@@ -143,6 +143,13 @@ def test_secrets_awkward_and_redaction(awkward, nothing, spark):
     assert out.where("doc_id <> 9").exceptAll(awkward.where("doc_id <> 9")).count() == 0
 
 
+def test_masking_merges_overlaps():
+    assert secret_scan.masked_text("abcdefgh", [0, 1, 3, 6], [3, 2, 4, 8], "*") == "**ef*"
+    assert secret_scan.masked_text("", [], [], "*") == ""
+    many = list(range(0, 400_000, 2))
+    assert secret_scan.masked_text("ab" * 200_000, many, [i + 1 for i in many], "*") == "*b" * 200_000
+
+
 def test_mix_meets_targets(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = mixing.mix(docs).collect()
@@ -296,3 +303,17 @@ def test_licenses_match_brute_force(spark, data, nothing):
     want = sorted(((i, *plain_licenses(t)) for i, t in rows), key=key)
     assert sorted((tuple(r) for r in got), key=key) == want
     assert license_scan.scan(nothing).count() == 0
+
+
+def test_licenses_that_differ_in_one_word(spark):
+    texts = {
+        "Licensed under CC-BY 4.0.": "cc-by",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "Released under the BSD license": "",
+        "Licensed under the Mozilla Public License, version 2.0": "",
+        "under the terms of the GNU General Public License": "gpl",
+        "GNU Lesser General Public License": "lgpl",
+        "Apache License, Version 2.0": "apache",
+    }
+    rows = license_scan.scan(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.labels for r in rows} == dict(enumerate(texts.values()))
