@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.llm import near_texts
 from strandweave.llm.common import ROW, as_many_parts, settle, small_batches, with_row_id
 from strandweave.llm.graph import components
 
@@ -197,8 +198,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """Keep one document of each near-duplicate group: that with the smallest doc_id (the first such row)."""
-    found = near_duplicates(docs)
-    keep = found.groupBy(F.coalesce("component_id", F.lit(-1)).alias("g"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best"))
-    rows = keep.select(F.col("best._row").alias(ROW))
+    """Keep one document of each near-duplicate group: that with the smallest doc_id (the first such row).
+
+    Groups are those of ``near_texts``: similar sets of five-word shingles. The radius of the fingerprints would lose most of them.
+    """
+    rows = near_texts.first_rows(docs).select(F.col("_row").alias(ROW))
     return as_many_parts(with_row_id(docs, ROW).join(rows, ROW, "left_semi").drop(ROW), docs)
