@@ -31,7 +31,10 @@ PATHS, WORDS, MEASURES, UNITS, ROUNDS = 128, 32, 5, 12, 20
 TOGETHER = 128
 
 # What HTML says of elements.
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "button", "object"}
+_RAW = {"script", "style", "noscript", "textarea", "title", "iframe"}
+#: Elements whose blocks are no text of a page however deep, and those of which only blocks right inside them are none.
+_UNSEEN, _CONTROLS = {"svg", "select", "template"}, {"button"}
+_MAY_BE_EMPTY = _RAW | _UNSEEN | _CONTROLS | {"object"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr b bdi bdo big cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del br".split())
 _CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -49,6 +52,7 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z0-9]+")
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"']|(?:^|\s)[^\s=/"'>]+)/\s*\Z""")  # a slash that ends an unquoted value is part of it
 
 Block = tuple[str, tuple[str, ...], float]
 
@@ -100,11 +104,15 @@ def leaf_blocks(page: str) -> list[Block]:
             text.append(" ")
         if ends:
             close(tag)
+        elif "/" in names and (tag in _MAY_BE_EMPTY or any(t == "svg" for t, _ in stack)) and _SELF_CLOSED.search(names):
+            continue
         elif tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in _VOID:
             if tag in _CLOSES_P:
+                close("svg", {"foreignobject"})  # block markup ends what was left open
+                close("select")
                 close("p", {"article", "aside", "body", "div", "footer", "header", "main", "nav", "section", "table", "td", "th", "ul", "ol", "li"})
             if tag in _ITEMS:
                 for other in _ITEMS if tag in ("td", "th") else {tag}:
@@ -117,6 +125,12 @@ def leaf_blocks(page: str) -> list[Block]:
     return out
 
 
+def unseen(path: tuple[str, ...]) -> bool:
+    """Whether a block is a control or drawing, by the elements around it."""
+    tags = [p for p in path if p[0] != "." and p not in _INLINE]
+    return bool(tags) and (tags[-1] in _CONTROLS or not _UNSEEN.isdisjoint(tags))
+
+
 def weak_labels(blocks: list[Block]) -> np.ndarray:
     """1 for article text and 0 for the rest, as far as names in the path tell."""
     inside = any(_ARTICLE & set(p) for _, p, _ in blocks)
@@ -125,7 +139,7 @@ def weak_labels(blocks: list[Block]) -> np.ndarray:
         named = {p.lstrip(".") for p in path}
         article = bool(_ARTICLE & set(path))
         head = "header" in named and not article
-        out.append(not (_NOT_TEXT & named) and not head and (article or not inside) and (article or linked < 0.5))
+        out.append(not (_NOT_TEXT & named) and not head and not unseen(path) and (article or not inside) and (article or linked < 0.5))
     return np.array(out, float)
 
 
@@ -313,7 +327,7 @@ def _extractor(shared):
                 some = order[lo:hi]
                 x, mask, _ = padded([(hasher.vectors(pages[n]), None) for n in some])
                 for n, s in zip(some, model.scores(x, mask), strict=True):
-                    texts[n] = "\n\n".join(p[0] for p, v in zip(pages[n], s.tolist(), strict=False) if v > 0)
+                    texts[n] = "\n\n".join(p[0] for p, v in zip(pages[n], s.tolist(), strict=False) if v > 0 and not unseen(p[1]))
                 lo = hi
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -104,6 +104,26 @@ def test_blocks_of_a_page():
         html_blocks.leaf_blocks(odd)
 
 
+def test_markup_left_open_or_self_closed_loses_no_text(spark):
+    def texts(inner):
+        page = f"<html><body><article><p>One two.</p>{inner}<p>Three four.</p></article><p>Five six.</p></body></html>"
+        return [t for t, path, _ in html_blocks.leaf_blocks(page) if not html_blocks.unseen(path)]
+
+    whole = ["One two.", "Three four.", "Five six."]
+    for inner in (
+        '<svg class="i" />', "<svg/>", "<svg viewBox=0 hidden/>", "<svg><svg><text>in</text></svg><text>out</text></svg>", '<svg><path d="M0"/><text>in</text>', "<svg><title>in</title></svg>", "<button>Share", "<button>Share</button>",
+        "<select><option>a<option>b</select>", "<select><option>a", "<object data=x>", "<object><object></object></object>", "<object/>", "<template><p>in</p><template>in</template>in</template>", '<script src="x"/>', "<iframe src=x />", "<script>in</script>",
+    ):
+        assert texts(inner) == whole, inner
+    assert texts("<iframe src=/a/>in</iframe>") == whole  # the slash is the value's
+    assert texts("<template><p>in</p>") == ["One two.", "Five six."]  # ends with its parent
+    assert texts("<object>fallback</object>") == [whole[0], "fallback", *whole[1:]]  # left to the labeller
+    odd = PAGE.replace("<ul><li>item a", "<svg class=i /><button>Share</button><button>More<ul><li>item a")
+    rows = [(n, "u", (odd if n == 7 else PAGE).format(n=n)) for n in range(60)]
+    got = {r.page_id: r.text for r in html_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == got[8].replace("8", "7")
+
+
 def test_gradient_of_the_labeller():
     model, rng = html_blocks.Labeller(3), np.random.default_rng(0)
     d = html_blocks.PATHS + html_blocks.WORDS + html_blocks.MEASURES
