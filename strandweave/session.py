@@ -18,14 +18,44 @@ def reach_workers(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = ":".join(filter(None, [ROOT, environment.get("PYTHONPATH", "")]))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one if unset."""
-    sc = df.sparkSession.sparkContext
+#: Rows for each file of a settled table of known size.
+FILE_ROWS = 250_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a temporary one on a single machine.
+
+    On a cluster without that setting there is no such folder, and lost executors would take what they wrote with them.
+    """
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir")
+    if at is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="settle_")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="settle_"))
+        sc.setCheckpointDir(at)
+    return at or sc._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    With a bound on its rows, a small table is written to few files rather than to one for each shuffle partition.
+    Spark deletes checkpoints that nothing refers to any more if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    shared_folder(df.sparkSession)
+    if most_rows is not None:
+        df = df.coalesce(max(6, -(-most_rows // FILE_ROWS)))
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def local_session(name: str = "strandweave", cores: int | None = None, partitions: int | None = None, memory: str = "8g") -> SparkSession:
     """A session on this machine, with as many shuffle partitions as cores."""
     cores = cores or os.cpu_count() or 4
@@ -38,6 +68,7 @@ def local_session(name: str = "strandweave", cores: int | None = None, partition
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
