@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import as_many_parts, small_batches, with_row_id
+from strandweave.llm.common import as_many_parts, small, with_row_id
 
 #: Fixed value: the splitting pattern of this family of vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -156,7 +156,7 @@ def digests(ids: list[int], decoded: str) -> tuple[int, str, str]:
 def _encode_whole(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in small(batches):
             made = []
             for text in b.column(1).to_pylist():
                 ids = c.encode(text or "")
@@ -170,7 +170,7 @@ def _encode_whole(path: str):
 def _encode_pieces(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in small(batches, 64):
             made = [c.piece(t) for t in b.column(4).to_pylist()]
             cuts = pa.array([np.array(m[1], np.int32).tobytes() for m in made], pa.binary())
             counts = pa.array([np.array(list(map(len, m[2])), np.int32).tobytes() for m in made], pa.binary())
@@ -208,13 +208,13 @@ def encode_digests(docs: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
     Texts of more than ``piece`` code points go through tree concatenation: their pieces are dealt out over all
     tasks and only their encoded neighbours meet again, a document at a time.
     """
-    small_batches(docs.sparkSession)
     base = with_row_id(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "_row")
     long = F.length("text") > piece
     short = base.where(~F.coalesce(long, F.lit(False))).select("doc_id", "text").mapInArrow(_encode_whole(path), DIGESTS)
     segments = base.where(long).select("_row", "doc_id", F.posexplode(F.split("text", "<\\|endoftext\\|>", -1)).alias("seg", "part"))
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("part") / piece) - 1, F.lit(0)).cast("int"))
-    pieces = segments.select("_row", "doc_id", "seg", "part", F.explode(starts).alias("seq")).select("_row", "doc_id", "seg", "seq", F.col("part").substr(F.col("seq") * piece + 1, F.lit(piece)).alias("piece"))
+    # One pass cuts a segment; an empty one, between two marks, is one empty piece.
+    cut = F.when(F.col("part") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("part", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)))
+    pieces = segments.select("_row", "doc_id", "seg", F.posexplode(cut).alias("seq", "piece"))
     dealt = pieces.repartition("_row", "seg", "seq")
     encoded = dealt.mapInArrow(_encode_pieces(path), "_row long, doc_id long, seg int, seq int, piece string, cuts binary, counts binary, ids binary")
     return short.unionByName(as_many_parts(encoded.groupBy("_row").applyInPandas(_join_pieces(path), DIGESTS), docs))
@@ -225,8 +225,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.encode(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, ids array<int>")

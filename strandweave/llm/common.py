@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch for kernels over whole texts, so that a batch stays small in memory.
-TEXT_BATCH_ROWS = 1000
+from strandweave.session import settle  # noqa: F401
 
+#: Rows and bytes of what a kernel over whole texts takes at a time. Spark itself bounds a batch by 64 MB.
+TEXT_ROWS, TEXT_BYTES = 1000, 8 << 20
 
 #: A row id beside columns that are not ours, and so what ours are called there.
 ROW = "__sw_row"
@@ -19,31 +21,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bound the rows that one Arrow batch carries to a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-#: Rows for each file of a settled table of known size.
-FILE_ROWS = 250_000
-
-
-def settle(df: DataFrame, most_rows: int | None = None) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests, a single machine) a temporary folder is set up. With a bound on
-    its rows, a small table is written to few files rather than to one for each shuffle partition.
-    """
-    if most_rows is not None:
-        df = df.coalesce(max(6, -(-most_rows // FILE_ROWS)))
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="settle_"))
-    return df.checkpoint(eager=True)
+def small(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS, size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded rows and, but for single rows, about bounded bytes; nothing is copied."""
+    for b in batches:
+        step = max(1, min(rows, int(size / max(1, b.nbytes) * b.num_rows)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Add a unique id a row; the same for each evaluation of a deterministic input such as a Parquet scan."""
+    """Add a unique id a row. Two evaluations need not agree: settle the result before it is used twice."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

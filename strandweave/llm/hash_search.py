@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import as_many_parts, settle, small_batches
+from strandweave.llm.common import as_many_parts, settle, small
 from strandweave.llm.vectors import classes, draw, finish, matrix, pack_ids, packed, query_classes, top_rows
 
 #: Vectors of the sample; bits of a code and of a substring; steps of learning a rotation; spreads of room.
@@ -74,7 +74,7 @@ def _prober(coders: dict, blocks: int, k: int):
     """Blocks of queries with codes and radii, for each block of vectors."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, QUERIES):
             dims, vecs, qids = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
@@ -137,7 +137,7 @@ class Index:
 def _searcher(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
-        for b in batches:
+        for b in small(batches, 4):
             for r in b.to_pylist():
                 c, q = np.frombuffer(r["vecs"]).reshape(-1, r["dim"]), np.frombuffer(r["queries"]).reshape(-1, r["dim"])
                 ids, counts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int64)
@@ -173,7 +173,6 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     Where the sample holds too few vectors for a radius, every code is within it and the search is exact.
     """
     spark = vectors.sparkSession
-    small_batches(spark, QUERIES)
     rows = packed(vectors, zero=False)
     made = settle(classes(rows, k + 1))
     count = made.count()
@@ -183,6 +182,5 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     probes = settle(queries.select("dim", "vec", "qid").mapInArrow(_prober(coders, blocks, k), "dim int, block int, qids binary, queries binary, q_codes binary, radius binary"))
     dealt = made.withColumn("block", F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int"))
     packs = dealt.groupBy("dim", "block").applyInPandas(_packer(coders), "dim int, block int, vecs binary, ids binary, counts binary, codes binary")
-    small_batches(spark, 4)
     found = probes.join(packs, ["dim", "block"]).mapInArrow(_searcher(k + 1), "qid long, vec_id long, score double")
     return as_many_parts(finish(found, members, k), vectors)

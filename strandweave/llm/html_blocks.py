@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import small_batches
+from strandweave.llm.common import small
 
 #: Pages of the training sample, and blocks of one of them that are learned from.
 SAMPLE, SAMPLE_BLOCKS = 200, 100
@@ -289,10 +289,9 @@ def varied(blocks: list[Block], rng: np.random.Generator) -> list[Block]:
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """Fit the labeller on a bounded sample of pages, drawn by hash; an empty table leaves it unfitted."""
-    small_batches(pages.sparkSession, 200)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 200):
             yield pa.RecordBatch.from_arrays([pa.array([json.dumps(leaf_blocks(h)[:SAMPLE_BLOCKS]) for h in b.column(0).to_pylist()])], ["blocks"])
 
     rows = pages.where("html is not null").select(F.col("html").cast("string"))
@@ -314,7 +313,7 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
 def _extractor(shared):
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hasher = shared.value, Hasher()
-        for b in batches:
+        for b in small(batches, 500):
             texts = [""] * b.num_rows
             pages = [leaf_blocks(h or "") for h in b.column(2).to_pylist()]
             # Pages of similar length together, so that little is padded.
@@ -341,7 +340,6 @@ def extract(pages: DataFrame) -> DataFrame:
     table gives no row; very long pages are read as one sequence. White space inside a block is one space.
     """
     model = train(pages)
-    small_batches(pages.sparkSession, 500)
     shared = pages.sparkSession.sparkContext.broadcast(model)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(_extractor(shared), "page_id long, url string, text string, n_chars long")

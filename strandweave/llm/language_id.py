@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import join_small, settle, small_batches
+from strandweave.llm.common import join_small, settle, small
 
 #: Documents of each language in the sample, as expected of the hash threshold that draws them.
 SAMPLE = 1000
@@ -57,7 +57,7 @@ def _before(data: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of three bytes of context and the byte after them, packed; byte 0 stands before a text."""
-    for b in batches:
+    for b in small(batches):
         langs = np.array(b.column(0).to_pylist(), object)
         for lang in sorted(set(langs)):
             data, place, _ = _grams(b.column(1).filter(pa.array(langs == lang)))
@@ -71,7 +71,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sample_counts(docs: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
     """Counts by language of the sampled documents' byte contexts; bounded by the sample, whatever the input."""
-    small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = settle(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40) < sample / F.col("_n")
@@ -176,11 +175,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     A null text, or one without a letter, is ``und`` with score 0, as is every text if nothing was learned.
     Repeated rows get equal results; an empty table gives none; a doc_id is not looked at.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             lang, score, bits = shared.value.predict(b.column(b.schema.get_field_index("text")))
             kept = [b.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], [*keep, "__sw_lang", "__sw_score", "__sw_bits"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import as_many_parts, settle, small_batches
+from strandweave.llm.common import as_many_parts, settle, small
 from strandweave.llm.vectors import classes, draw, finish, matrix, pack_ids, packed, query_classes, top_rows
 
 #: Vectors of the sample that gives pivots, annuli and first bounds; pivots; annuli of a pivot.
@@ -70,7 +70,7 @@ def inner(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _assigner(pivots: dict):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 4096):
             dims, vecs = b.column(0).to_numpy(), b.column(1).to_pylist()
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
@@ -91,7 +91,7 @@ def _prober(pivots: dict, rings: dict, k: int):
     """Blocks of queries for each chunk of each annulus whose bound reaches a query's first k-th best score."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, QUERIES):
             dims, vecs, qids = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
@@ -122,7 +122,7 @@ def _pack(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _searcher(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches, 4):
             for r in b.to_pylist():
                 c, q = np.frombuffer(r["vecs"]).reshape(-1, r["dim"]), np.frombuffer(r["queries"]).reshape(-1, r["dim"])
                 ids, counts, far = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int64), np.frombuffer(r["far"])
@@ -169,7 +169,6 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     Products past 64 bits are held at the largest long.
     """
     spark = vectors.sparkSession
-    small_batches(spark, QUERIES)
     rows = packed(vectors, quantised)
     made = settle(classes(rows, k + 1))
     pivots = {d: Pivots(m) for d, m in draw(made, SAMPLE).items()}
@@ -184,7 +183,6 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     dealt = whole.join(F.broadcast(chunks), ["dim", "pivot", "ring"]).withColumn("chunk", F.pmod(F.xxhash64("vec"), F.col("chunks")).cast("int")).drop("chunks")
     keys = ["dim", "pivot", "ring", "chunk"]
     packs = dealt.groupBy(*keys).applyInPandas(_pack, "dim int, pivot int, ring int, chunk int, vecs binary, ids binary, counts binary, far binary")
-    small_batches(spark, 4)
     found = blocks.join(packs, keys).mapInArrow(_searcher(k + 1), "qid long, vec_id long, score long")
     return as_many_parts(finish(found, members, k), vectors)
 

@@ -4,7 +4,8 @@ Three base kinds are found by pattern alone: assignments, access identifiers and
 candidates (user or key names, 40-character keys, endpoints) say little by themselves; they are reported
 only where complementary parts stand together: in one scope (a stretch of text between blank lines), at
 most ``REACH`` code points apart. An identifier needs a secret, a secret an identifier or an endpoint, and an
-endpoint a secret. The parts are joined as intervals by a sweep over their places in each scope.
+endpoint a secret. The parts are joined as intervals by two sweeps over their places in each scope. A scope lies within
+one text, so the join needs no shuffle: a text is read, matched and joined where it is.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import ROW, as_many_parts, small_batches, with_row_id
+from strandweave.llm.common import small
 
 #: Kinds in the order in which ties of place are listed.
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
@@ -35,8 +37,10 @@ _KEY = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[^A-Z]{0,39}[A-Z])(
 _ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|arn:aws:[^\s\"'<>]+)")
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 _RARE = re.compile(r"[:=]|[A-Za-z0-9+/]{40}")
+_LOGIN = re.compile(r"://([^/?#@\s]+)@")
 
-PARTS = "array<struct<start:long,rank:int,stop:long,scope:int>>"
+#: Which roles complement a role.
+_NEEDS = {"i": "s", "s": "ie", "e": "s"}
 
 
 def find_parts(text: str) -> list[tuple[int, int, int, int]]:
@@ -60,70 +64,86 @@ def find_parts(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def linked(parts: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, rank, end) of the base parts and of the weak ones with a complementary part in reach, by place.
+
+    One sweep forward keeps the furthest end of each role, one backward the nearest start.
+    """
+    out = []
+    for _, scope in groupby(parts, key=lambda p: p[3]):
+        rows = list(scope)
+        roles, near = [ROLES[KINDS[p[1]]] for p in rows], [p[1] < 3 for p in rows]
+        ends: dict[str, int] = {}
+        for n, (p, role) in enumerate(zip(rows, roles, strict=True)):
+            near[n] |= any(p[0] - ends[r] <= REACH for r in _NEEDS[role] if r in ends)
+            ends[role] = max(ends.get(role, 0), p[2])
+        starts: dict[str, int] = {}
+        for n in range(len(rows) - 1, -1, -1):
+            near[n] |= any(starts[r] - rows[n][2] <= REACH for r in _NEEDS[roles[n]] if r in starts)
+            starts[roles[n]] = rows[n][0]
+        out += [p[:3] for p, ok in zip(rows, near, strict=True) if ok]
+    return out
+
+
 def spans_text(parts: list[tuple]) -> str:
     return ",".join(f"{KINDS[p[1]]}:{p[0]}:{p[2]}" for p in parts)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("stop", pa.int64()), ("scope", pa.int32())]))
-    for b in batches:
-        rows = [find_parts(t or "") for t in b.column(2).to_pylist()]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("stop", pa.int64())]))
+    for b in small(batches):
+        rows = [linked(find_parts(t or "")) for t in b.column(1).to_pylist()]
         base = [[p for p in r if p[1] < 3] for r in rows]
         counts = [pa.array([sum(p[1] == k for p in r) for r in base], pa.int64()) for k in range(3)]
         digests = pa.array([hashlib.sha256(spans_text(r).encode()).hexdigest() for r in base], pa.string())
-        parts = pa.array([[{"start": s, "rank": k, "stop": e, "scope": c} for s, k, e, c in r] for r in rows], kind)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *counts, digests, parts], ["_row", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "parts"])
+        found = pa.array([[{"start": s, "rank": k, "stop": e} for s, k, e in r] for r in rows], kind)
+        spans = pa.array(list(map(spans_text, rows)), pa.string())
+        yield pa.RecordBatch.from_arrays([b.column(0), *counts, digests, found, spans], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "found", "spans"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row a document row: ``_row``, doc_id, counts and digest of the base spans, ``found`` and ``spans``.
+    """One row a document row: doc_id, counts and digest of the base spans, ``found`` and ``spans``.
 
     ``found`` lists (start, rank, stop) of base spans and of weak candidates that are linked; ``spans`` is its
     text. A null text counts as empty and has no span; repeated rows are scanned each by itself; an empty
-    table gives no row. The sweep groups by row and scope, so no group is larger than one document.
+    table gives no row; the time a text takes is linear in its length.
     """
-    small_batches(docs.sparkSession)
-    rows = with_row_id(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "_row").select("_row", "doc_id", "text")
-    made = rows.mapInArrow(_scan, f"_row long, doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, parts {PARTS}")
-    head = ["_row", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
-    part = made.select(*head, F.explode_outer("parts").alias("p")).select(*head, "p.*")
-    role = F.element_at(F.create_map(*[F.lit(x) for k in KINDS for x in (KINDS.index(k), ROLES[k])]), F.col("rank"))
-    part = part.withColumn("role", F.when(F.col("rank").isNotNull(), role))
-    by = Window.partitionBy("_row", "scope")
-    ahead = by.orderBy("start", "rank", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    behind = by.orderBy(F.desc("start"), F.desc("rank"), F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
-    for r in "ise":
-        part = part.withColumn(f"end_{r}", F.max(F.when(F.col("role") == r, F.col("stop"))).over(ahead))
-    for r in "ise":
-        part = part.withColumn(f"next_{r}", F.min(F.when(F.col("role") == r, F.col("start"))).over(behind))
-
-    def near(r: str):
-        return F.coalesce(F.col("start") - F.col(f"end_{r}") <= REACH, F.lit(False)) | F.coalesce(F.col(f"next_{r}") - F.col("stop") <= REACH, F.lit(False))
-
-    linked = F.when(F.col("role") == "s", near("i") | near("e")).otherwise(near("s"))
-    kept = F.when((F.col("rank") < 3) | linked, F.struct("start", "rank", "stop"))
-    out = part.groupBy("_row").agg(*[F.first(c).alias(c) for c in head[1:]], F.sort_array(F.collect_list(kept)).alias("found"))
-    name = F.array(*[F.lit(k) for k in KINDS])
-    spans = F.concat_ws(",", F.transform("found", lambda p: F.concat_ws(":", F.get(name, p["rank"]), p["start"], p["stop"])))
-    return as_many_parts(out.withColumn("spans", spans), docs)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:long,rank:int,stop:long>>, spans string")
 
 
 def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
-    """The documents with each reported span (endpoints apart) replaced by ``mark``; all rows stay.
+    """The documents with each reported span replaced by ``mark``; of an endpoint, only its user and password.
 
-    Documents without a span are left as they are. ``n_chars``, where there is one, follows the text.
+    All rows and columns stay as they are but for ``text`` and, where there is one, ``n_chars``, which follows the text.
+    Texts without a span are left alone, null ones too; repeated rows are masked each by itself; an empty table stays
+    empty. A row is masked where it is read, so the result doesn't depend on how the rows are dealt out.
     """
-    columns = docs.columns
-    spans = F.filter("found", lambda p: p["rank"] != KINDS.index("endpoint"))
-    hits = scan(docs).select(F.col("_row").alias(ROW), spans.alias("__sw_found")).where(F.size("__sw_found") > 0)
-    out = with_row_id(docs, ROW).join(hits, ROW, "left")
-    clean, text = F.col("__sw_found").isNull(), F.col("text").cast("string")
-    # Only texts with a span go to the kernel; the others are null there.
-    masked = _masker(mark)(F.when(~clean, text), F.col("__sw_found.start"), F.col("__sw_found.stop"))
-    out = out.withColumn("text", F.when(clean, text).otherwise(masked))
+    columns, new = docs.columns, "__sw_text"
+    old = F.col("text").cast("string")
+    out = docs.withColumn(new, _redactor(mark)(old))
+    changed = F.col(new).isNotNull()
+    values = {"text": F.coalesce(new, old).alias("text")}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return as_many_parts(out.select(*columns), docs)
+        values["n_chars"] = F.when(changed, F.length(new).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return out.select(*[values.get(c, F.col(f"`{c}`")) for c in columns])
+
+
+def redacted(text: str, mark: str) -> str | None:
+    """The text with its reported parts masked, or None where there are none."""
+    spans = []
+    for start, rank, stop in linked(find_parts(text)):
+        login = _LOGIN.search(text, start, stop) if KINDS[rank] == "endpoint" else None
+        spans += [(start, stop)] if KINDS[rank] != "endpoint" else [login.span(1)] if login else []
+    return masked_text(text, *zip(*sorted(spans), strict=True), mark) if spans else None
+
+
+def _redactor(mark: str):
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else redacted(t, mark) for t in texts], dtype=object)
+
+    return masked
 
 
 def masked_text(text: str, starts: list[int], stops: list[int], mark: str) -> str:
@@ -136,15 +156,6 @@ def masked_text(text: str, starts: list[int], stops: list[int], mark: str) -> st
     return "".join([*out, text[at:]])
 
 
-def _masker(mark: str):
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
-        rows = zip(texts, starts, stops, strict=True)
-        return pd.Series([None if t is None else masked_text(t, a.tolist(), b.tolist(), mark) for t, a, b in rows], dtype=object)
-
-    return masked
-
-
 def _either_case(words: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
 

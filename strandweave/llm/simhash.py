@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm import near_texts
-from strandweave.llm.common import ROW, as_many_parts, settle, small_batches, with_row_id
+from strandweave.llm.common import ROW, as_many_parts, settle, small, with_row_id
 from strandweave.llm.graph import components
 
 RADIUS = 4
@@ -54,14 +54,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         made = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made)], ["_row", "doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``_row``, ``doc_id`` and the fingerprint ``fp`` (as signed long) of each row; null texts count as empty."""
-    small_batches(docs.sparkSession)
     rows = with_row_id(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "_row")
     return rows.select("_row", "doc_id", "text").mapInArrow(_fingerprints, "_row long, doc_id long, fp long")
 
@@ -200,7 +199,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """Keep one document of each near-duplicate group: that with the smallest doc_id (the first such row).
 
-    Groups are those of ``near_texts``: similar sets of five-word shingles. The radius of the fingerprints would lose most of them.
+    Groups are those of ``near_texts``: similar sets of five-word shingles. The radius of the fingerprints would lose most
+    of them. Texts that are null or have no word are one group; of repeated rows one stays; an empty table stays empty;
+    a document without doc_id stays only if its group has no other. Rows are written with an id once, so the result
+    holds for any input, also one whose rows come in another order each time.
     """
-    rows = near_texts.first_rows(docs).select(F.col("_row").alias(ROW))
-    return as_many_parts(with_row_id(docs, ROW).join(rows, ROW, "left_semi").drop(ROW), docs)
+    held = settle(with_row_id(docs, ROW))
+    rows = near_texts.first_rows(held.select(F.col(ROW).alias("_row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))).select(F.col("_row").alias(ROW))
+    return as_many_parts(held.join(rows, ROW, "left_semi").drop(ROW), docs)

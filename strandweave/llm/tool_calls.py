@@ -3,7 +3,8 @@
 An assistant's text may be a JSON object with ``tool_calls`` (id, name, arguments, depends_on) and ``content``; a
 tool's text one with ``tool_call_id`` and ``content``; any other text is plain content. Calls and results are
 joined by hash on conversation and identifier, never by conversation alone, so a conversation that holds a
-third of all rows is spread like any other. Dependencies are peeled in rounds of equi-joins.
+third of all rows is spread like any other. Calls that depend on each other form components; each is ordered in one
+task, and those of more than ``MOST`` dependencies by rounds of equi-joins instead.
 """
 
 from __future__ import annotations
@@ -11,12 +12,16 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import as_many_parts, settle, small_batches, with_row_id
+from strandweave.llm.common import as_many_parts, settle, small, with_row_id
+from strandweave.llm.graph import components
 
+#: Dependencies of a component up to which it is ordered in one task.
+MOST = 50_000
 #: Argument schemas by tool name, in the part of JSON Schema that ``problems`` checks. Production parameter.
 SCHEMAS = {
     "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
@@ -86,41 +91,57 @@ def read_message(role: str | None, text: str | None, schemas: dict) -> tuple[str
     return canonical(text), []
 
 
-def _kinds(schemas: dict):
-    part = pa.struct([("kind", pa.string()), ("id", pa.string()), ("seq", pa.int32()), ("name", pa.string()), ("arguments", pa.string()), ("needs", pa.list_(pa.string())), ("wrong", pa.list_(pa.string()))])
-
-    def calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [read_message(r, t, schemas)[1] for r, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            at = pa.array([n for n, f in enumerate(found) for _ in f], pa.int64())
-            made = pa.array([c for f in found for c in f], part)
-            yield pa.RecordBatch.from_arrays([*[b.column(i).take(at) for i in range(3)], *made.flatten()], ["_row", "conv_id", "turn", "kind", "id", "seq", "name", "arguments", "needs", "wrong"])
+_CALL = "kind string, id string, seq int, name string, arguments string, needs array<string>, wrong array<string>"
 
-    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [read_message(r, t, schemas)[0] for r, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            roles = [canonical(r) for r in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(made, pa.string()), pa.array(roles, pa.string())], ["_row", "conv_id", "turn", "role", "content", "role_json"])
 
-    return calls, contents
+def messages(conversations: DataFrame, schemas: dict | None = None) -> DataFrame:
+    """``_row``, conv_id, turn, role, content, role_json and ``parts`` (calls or a result) of each row, written once.
 
-
-def _levels(calls: DataFrame) -> DataFrame:
-    """conv_id, id and level of each owned call: 0 without dependencies, else one above the highest of them.
-
-    Peeled in rounds: a call whose open edges are all gone is done. What is left when a round takes nothing
-    away depends on a cycle and has no level. Dependencies on ids that the conversation never calls are void.
+    Messages without conv_id form a conversation of their own.
     """
-    nodes = calls.select("conv_id", "id")
-    edges = calls.select("conv_id", "id", F.explode("needs").alias("need")).join(nodes.withColumnRenamed("id", "need"), ["conv_id", "need"])
-    edges, level = settle(edges.distinct()), 0
-    left = edges.count()
-    done = settle(nodes.join(edges.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)))
-    out = done
+    known = SCHEMAS if schemas is None else schemas
+    part = pa.struct([("kind", pa.string()), ("id", pa.string()), ("seq", pa.int32()), ("name", pa.string()), ("arguments", pa.string()), ("needs", pa.list_(pa.string())), ("wrong", pa.list_(pa.string()))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            roles = b.column(3).to_pylist()
+            made = [read_message(r, t, known) for r, t in zip(roles, b.column(4).to_pylist(), strict=True)]
+            cols = [pa.array([m[0] for m in made], pa.string()), pa.array(map(canonical, roles), pa.string()), pa.array([m[1] for m in made], pa.list_(part))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *cols], ["_row", "conv_id", "turn", "role", "content", "role_json", "parts"])
+
+    c = conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NOWHERE)).alias("conv_id"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    rows = with_row_id(c, "_row").select("_row", "conv_id", "turn", "role", "text")
+    return settle(rows.mapInArrow(read, f"_row long, conv_id long, turn long, role string, content string, role_json string, parts array<struct<{_CALL.replace(' ', ':').replace(',:', ',')}>>"))
+
+
+def peel(edges: pd.DataFrame) -> pd.DataFrame:
+    """conv_id, id and level of the calls of one component, from its dependencies (conv_id, id, need)."""
+    after: dict[tuple, list[tuple]] = {}
+    open_needs: dict[tuple, int] = {}
+    for conv, one, need in edges[["conv_id", "id", "need"]].itertuples(index=False, name=None):
+        after.setdefault((conv, need), []).append((conv, one))
+        open_needs[conv, one] = open_needs.get((conv, one), 0) + 1
+    level = {n: 0 for n in after if n not in open_needs}
+    ready = list(level)
+    for n in ready:
+        for x in after.get(n, ()):
+            open_needs[x] -= 1
+            level[x] = max(level.get(x, 0), level[n] + 1)
+            if not open_needs[x]:
+                ready.append(x)
+    every = sorted({*after, *open_needs})
+    return pd.DataFrame([(c, i, None if open_needs.get((c, i)) else level[c, i]) for c, i in every], columns=["conv_id", "id", "level"]).astype({"level": "Int32"})
+
+
+def peel_rounds(edges: DataFrame) -> DataFrame:
+    """The same for components of any size, a round of joins a level."""
+    edges = settle(edges.select("conv_id", "id", "need"))
+    nodes = edges.select("conv_id", "id").union(edges.select("conv_id", F.col("need").alias("id"))).distinct()
+    left, level = edges.count(), 0
+    done = out = settle(nodes.join(edges.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)))
     while left:
         level += 1
-        ready = done.select("conv_id", F.col("id").alias("need"))
-        rest = settle(edges.join(ready, ["conv_id", "need"], "left_anti"))
+        rest = settle(edges.join(done.select("conv_id", F.col("id").alias("need")), ["conv_id", "need"], "left_anti"))
         if (now := rest.count()) == left:
             break
         freed = edges.select("conv_id", "id").distinct().join(rest.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti")
@@ -129,41 +150,56 @@ def _levels(calls: DataFrame) -> DataFrame:
     return nodes.join(out, ["conv_id", "id"], "left")
 
 
-def link(conversations: DataFrame, schemas: dict | None = None) -> DataFrame:
-    """One row a call or result: what it belongs to and what is wrong with it, if anything.
+def levels(calls: DataFrame, most: int = MOST) -> DataFrame:
+    """conv_id, id and level of each owned call: 0 without dependencies, else one above the highest of them.
 
-    ``state`` of a call: ``linked`` (the first call of its id, answered by a later message), ``unanswered``,
-    ``duplicate`` (its id was called before) or ``unnamed`` (no id); of a result: ``linked`` (the first later one for its id),
-    ``extra`` (a further one) or ``orphan`` (none called before it). ``level`` is the place in dependency order, null on a cycle.
-    Messages without conv_id form a conversation of their own.
+    A call on a cycle, or that depends on one, has no level. Dependencies on ids that the conversation never calls are void.
     """
-    small_batches(conversations.sparkSession)
-    take, _ = _kinds(SCHEMAS if schemas is None else schemas)
-    rows = _rows(conversations).mapInArrow(take, "_row long, conv_id long, turn long, kind string, id string, seq int, name string, arguments string, needs array<string>, wrong array<string>")
-    parts = settle(rows.withColumn("conv_id", F.coalesce("conv_id", F.lit(NOWHERE))))
+    nodes = calls.select("conv_id", "id")
+    edges = calls.select("conv_id", "id", F.explode("needs").alias("need")).join(nodes.withColumnRenamed("id", "need"), ["conv_id", "need"])
+    edges = settle(edges.select("conv_id", "id", "need").distinct())
+    if not (count := edges.count()):
+        return nodes.withColumn("level", F.lit(0))
+    edges = edges.withColumns({"a": F.xxhash64("conv_id", "id"), "b": F.xxhash64("conv_id", "need")})  # equal hashes only join components
+    roots = components(edges.select("a", "b"), 2 * count)
+    edges = settle(edges.join(roots, F.col("a") == F.col("node"), "left").select("conv_id", "id", "need", F.coalesce("root", "a").alias("root")))
+    large = settle(edges.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("root"), 1)
+    here = edges if not large.count() else edges.join(large, "root", "left_anti")
+    found = here.groupBy("root").applyInPandas(peel, "conv_id long, id string, level int")
+    found = found if here is edges else found.unionByName(peel_rounds(edges.join(large, "root", "left_semi")))
+    found = found.withColumn("linked", F.lit(True))
+    return nodes.join(found, ["conv_id", "id"], "left").select("conv_id", "id", F.when(F.col("linked"), F.col("level")).otherwise(0).alias("level"))
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    parts = settle(rows.select("_row", "conv_id", "turn", F.explode("parts").alias("p")).select("_row", "conv_id", "turn", "p.*"))
     calls, results = parts.where("kind = 'call'"), parts.where("kind = 'result'")
-    owner = calls.where("id is not null").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "_row", "seq")).alias("first"), F.min_by("name", F.struct("turn", "_row", "seq")).alias("own_name"), F.min_by("needs", F.struct("turn", "_row", "seq")).alias("needs"))
-    owner = settle(owner)
-    same = F.col("p.conv_id").eqNullSafe(F.col("o.conv_id")) & (F.col("p.id") == F.col("o.id"))
+    order = F.struct("turn", "_row", "seq")
+    owner = settle(calls.where("id is not null").groupBy("conv_id", "id").agg(F.min(order).alias("first"), F.min_by("name", order).alias("own_name"), F.min_by("needs", order).alias("needs")))
+    same = (F.col("p.conv_id") == F.col("o.conv_id")) & (F.col("p.id") == F.col("o.id"))
     later = F.col("o.first").isNotNull() & (F.struct("p.turn", "p._row") > F.struct(F.col("o.first.turn"), F.col("o.first._row")))
-    answers = results.alias("p").join(owner.alias("o"), same, "left").select("p.*", F.col("o.own_name").alias("own_name"), F.coalesce(later, F.lit(False)).alias("later"))
-    answers = settle(answers)
+    answers = settle(results.alias("p").join(owner.alias("o"), same, "left").select("p.*", F.col("o.own_name").alias("own_name"), F.coalesce(later, F.lit(False)).alias("later")))
     first = answers.where("later").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "_row")).alias("answer"))
-    levels = _levels(owner.select("conv_id", "id", "needs"))
-    known = owner.select("conv_id", "id", "first").alias("o").join(first.alias("f"), F.col("o.conv_id").eqNullSafe(F.col("f.conv_id")) & (F.col("o.id") == F.col("f.id")), "left").select("o.*", "f.answer")
-    known = known.alias("o").join(levels.alias("l"), F.col("o.conv_id").eqNullSafe(F.col("l.conv_id")) & (F.col("o.id") == F.col("l.id")), "left").select("o.*", "l.level")
+    known = owner.select("conv_id", "id", "first").join(first, ["conv_id", "id"], "left").join(levels(owner.select("conv_id", "id", "needs")), ["conv_id", "id"], "left")
     owned = F.struct("p.turn", "p._row", "p.seq").eqNullSafe(F.col("o.first"))
     state = F.when(F.col("p.id").isNull(), "unnamed").when(~owned, "duplicate").when(F.col("o.answer").isNull(), "unanswered").otherwise("linked")
-    of_calls = calls.alias("p").join(known.alias("o"), same, "left").select("p._row", "p.conv_id", "p.turn", "p.kind", "p.id", "p.seq", "p.name", "p.arguments", "p.wrong", state.alias("state"), "o.level")
+    columns = [F.col(f"p.{c}") for c in ("_row", "conv_id", "turn", "kind", "id", "seq")]
+    of_calls = calls.alias("p").join(known.alias("o"), same, "left").select(*columns, "p.name", "p.arguments", "p.wrong", state.alias("state"), "o.level")
     chosen = F.struct("p.turn", "p._row").eqNullSafe(F.col("o.answer"))
     state = F.when(~F.col("p.later"), "orphan").when(chosen, "linked").otherwise("extra")
-    of_results = answers.alias("p").join(first.alias("o"), same, "left").select("p._row", "p.conv_id", "p.turn", "p.kind", "p.id", "p.seq", F.col("p.own_name").alias("name"), "p.arguments", "p.wrong", state.alias("state"), F.lit(None).cast("int").alias("level"))
-    return of_calls.union(of_results).withColumn("conv_id", F.nullif("conv_id", F.lit(NOWHERE)))
+    of_results = answers.alias("p").join(first.alias("o"), same, "left").select(*columns, F.col("p.own_name").alias("name"), "p.arguments", "p.wrong", state.alias("state"), F.lit(None).cast("int").alias("level"))
+    return of_calls.union(of_results)
 
 
-def _rows(conversations: DataFrame) -> DataFrame:
-    c = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return with_row_id(c, "_row").select("_row", "conv_id", "turn", "role", "text")
+def link(conversations: DataFrame, schemas: dict | None = None) -> DataFrame:
+    """One row a call or result: what it belongs to and what is wrong with it, if anything.
+
+    ``state`` of a call: ``linked`` (the first call of its id, answered by a later message), ``unanswered``,
+    ``duplicate`` (its id was called before) or ``unnamed`` (no id); of a result: ``linked`` (the first later one for its id),
+    ``extra`` (a further one) or ``orphan`` (none called before it). ``level`` is the place in dependency order, null on a cycle.
+    Messages without conv_id form a conversation of their own; of messages with an equal turn, their order as read decides.
+    """
+    return _linked(messages(conversations, schemas)).withColumn("conv_id", F.nullif("conv_id", F.lit(NOWHERE)))
 
 
 def format_messages(conversations: DataFrame, schemas: dict | None = None) -> DataFrame:
@@ -171,10 +207,11 @@ def format_messages(conversations: DataFrame, schemas: dict | None = None) -> Da
 
     A message's calls stand in dependency order, then as given, calls on a cycle last. Null texts and roles are
     JSON nulls; text that is not such an object stays plain content; repeated rows are formatted each by itself,
-    the later ones' calls being duplicates; an empty table gives no row. ``state`` is a result's (see ``link``).
+    the later ones' calls being duplicates; an empty table gives no row. ``state`` is a result's (see ``link``). Rows are
+    read and written with an id once, so that an input whose rows come in another order each time is formatted whole.
     """
-    _, contents = _kinds(SCHEMAS if schemas is None else schemas)
-    parts = link(conversations, schemas)
+    rows = messages(conversations, schemas)
+    parts = _linked(rows)
     quoted = lambda c: F.coalesce(F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2), F.lit("null"))
     call = F.concat(F.lit('{"arguments":'), "arguments", F.lit(',"id":'), quoted(F.col("id")), F.lit(',"name":'), quoted(F.col("name")), F.lit("}"))
     order = F.struct(F.col("level").isNull().alias("cyclic"), F.col("level").alias("level"), F.col("seq").alias("seq"), call.alias("json"))
@@ -186,8 +223,7 @@ def format_messages(conversations: DataFrame, schemas: dict | None = None) -> Da
         F.sum((is_call & (F.size("wrong") > 0)).cast("long")).alias("n_wrong"),
         F.max(F.when(~is_call, F.struct(F.col("id").alias("id"), F.col("name").alias("name"), F.col("state").alias("state")))).alias("result"),
     )
-    rows = _rows(conversations).mapInArrow(contents, "_row long, conv_id long, turn long, role string, content string, role_json string")
-    joined = rows.join(own, "_row", "left")
+    joined = rows.drop("parts").join(own, "_row", "left")
     calls = F.concat(F.lit(',"tool_calls":['), F.array_join(F.transform("calls", lambda c: c["json"]), ","), F.lit("]"))
     result = F.concat(F.lit(',"tool_call_id":'), quoted(F.col("result.id")))
     name = F.when(F.col("result.name").isNotNull(), F.concat(F.lit(',"name":'), quoted(F.col("result.name")))).otherwise("")
@@ -196,7 +232,7 @@ def format_messages(conversations: DataFrame, schemas: dict | None = None) -> Da
         F.when(F.col("result").isNotNull(), result).otherwise(""), F.when(F.col("n_calls") > 0, calls).otherwise(""), F.lit("}"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    out = joined.select("conv_id", "turn", "role", message.alias("message"), zero("n_calls"), zero("n_linked"), zero("n_wrong"), F.col("result.state").alias("state"))
+    out = joined.select(F.nullif("conv_id", F.lit(NOWHERE)).alias("conv_id"), "turn", "role", message.alias("message"), zero("n_calls"), zero("n_linked"), zero("n_wrong"), F.col("result.state").alias("state"))
     return as_many_parts(out, conversations)
 
 
