@@ -57,3 +57,14 @@ def test_band_keys_meet_at_the_threshold():
         both, one, two = ([rng.getrandbits(64) for _ in range(n)] for n in (160, 20, 20))
         sets = [near_texts.np.unique(near_texts.np.array(both + x, "uint64")) for x in (one, two)]
         assert near_texts.similarity(*sets) == 0.8 and {*near_texts.band_keys(sets[0])} & {*near_texts.band_keys(sets[1])}
+
+
+def test_bitmaps_never_part_similar_sets():
+    rng, np = random.Random(5), near_texts.np
+    for n in (5, 63, 64, 200, 5000):
+        both = [rng.getrandbits(64) for _ in range(n)]
+        one, two = (np.unique(np.array(both + [rng.getrandbits(64) for _ in range(k)], "uint64")) for k in (n // 9, n // 7))
+        x, y = (near_texts.parity(s).view(np.uint64)[None] for s in (one, two))
+        words = min(x.shape[1], y.shape[1])
+        apart = np.bitwise_count(near_texts._folded(x, words) ^ near_texts._folded(y, words)).sum()
+        assert apart <= len(one) + len(two) - 2 * n
