@@ -203,17 +203,16 @@ def test_language_code_lengths_are_those_of_the_trees():
         counts[key] = counts.get(key, 0) + 3
     model = language_id.Model(pd.DataFrame({"lang": "x", "key": list(counts), "n": list(counts.values())}))
 
-    symbols = {c: int(model.symbol[ord(c)]) for c in text}
     grams = [("\0\0\0" + text)[i : i + 4] for i in range(len(text))]
 
-    def prob(context, s):
+    def prob(context):
         if context is None:
-            return [1 / model.a] * model.a
-        seen = [0] * model.a
+            return [1 / 256] * 256
+        seen = [0] * 256
         for g in grams:
             if g[3 - len(context) : 3] == context:
-                seen[symbols[g[3]]] += 3
-        lower = prob(context[1:] if context else None, s)
+                seen[ord(g[3])] += 3
+        lower = prob(context[1:] if context else None)
         if not sum(seen):
             return lower
         kinds = sum(c > 0 for c in seen)
@@ -221,11 +220,26 @@ def test_language_code_lengths_are_those_of_the_trees():
         escape = kinds / (sum(seen) + kinds) if rest > 0 else 0
         return [c / sum(seen) * (1 - escape) if c else escape * p / rest for c, p in zip(seen, lower, strict=True)]
 
-    probe = "abra cab"
-    want = sum(-math.log2(prob(("\0\0\0" + probe)[i : i + 3], None)[symbols[c]]) for i, c in enumerate(probe))
-    assert model.lengths(pa.array([probe, None, ""]))[0][:, 0].tolist() == pytest.approx([want, 0, 0], rel=1e-5)
-    every = prob("abr", None)
-    assert sum(every) == pytest.approx(1)
+    for probe in ("abra cab", "zzz abba", "q", text):
+        want = sum(-math.log2(prob(("\0\0\0" + probe)[i : i + 3])[ord(c)]) for i, c in enumerate(probe))
+        assert model.lengths(pa.array([probe, None, ""]))[0][:, 0].tolist() == pytest.approx([want, 0, 0], rel=1e-5)
+    assert sum(prob("abr")) == pytest.approx(1)
+
+
+def test_languages_in_groups_score_alike(monkeypatch):
+    """Many languages with all byte values: what other languages have seen changes no language's code lengths."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    rng, parts = np.random.default_rng(3), []
+    for n in range(11):
+        parts.append(pd.DataFrame({"lang": f"l{n:02}", "key": np.unique(rng.integers(0, 1 << 32, 3000) & rng.choice([0x0F0F0F0F, 0xFF3FFF7F, 0xFFFFFFFF]))}))
+        parts[-1]["n"] = rng.integers(1, 9, len(parts[-1]))
+    texts = pa.array(["plain words", "\x7f\x01é漢字 " * 20, ""])
+    together = language_id.Model(pd.concat(parts)).lengths(texts)[0]
+    alone = np.concatenate([language_id.Model(p).lengths(texts)[0] for p in parts], axis=1)
+    assert np.allclose(together, alone, rtol=1e-5)
 
 
 def test_language_held_out_accuracy(spark):
