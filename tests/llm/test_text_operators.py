@@ -294,14 +294,14 @@ def plain_licenses(text):
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
     at = [(i, label) for phrase, label in license_scan.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     labels, best = {x for _, x in at}, 0.0
-    for line in low.split("\n"):
-        own = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", line)
-        for block in [own] if len(own) <= 64 else [own[i : i + 64] for i in range(0, len(own), 32)]:
-            for label, template in license_scan.TEMPLATES:
-                t = set(template.split())
-                if len(t & set(block)) >= 0.8 * len(t) - 1e-9:
-                    labels.add(label)
-                    best = max(best, len(t & set(block)) / len(t))
+    pairs = lambda w: {*zip(w, w[1:], strict=False)}
+    for i in range(0, max(1, len(words) - 128), 128):
+        own = pairs(words[i : i + 256])
+        for label, template in license_scan.TEMPLATES:
+            t = pairs(template.split())
+            if len(t & own) >= 0.8 * len(t) - 1e-9:
+                labels.add(label)
+                best = max(best, len(t & own) / len(t))
     return len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at})), ",".join(sorted(labels)), 1.0 if at else best
 
 
@@ -309,6 +309,7 @@ def test_licenses_match_brute_force(spark, data, nothing):
     rng = random.Random(4)
     pool = [w for _, t in license_scan.TEMPLATES for w in t.split()] + ["Der", "é", "x-y", "MIT License", "CC-BY", "\n", "\n", "mit", "license"]
     made = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 150))) for _ in range(80)]
+    made += [" ".join(rng.choice(pool[:60]) for _ in range(n)) + f" {t} " + "x y " * n for n in (3, 120, 127, 128, 129, 250, 400) for _, t in license_scan.TEMPLATES[-6:]]  # around the ends of blocks
     made += [f"intro\n{t.upper()}. more" for _, t in license_scan.TEMPLATES] + ["All rights", "the MIT\nlicense", "gnu general public licenses", "xmit license"]
     rows = [*[(r[0], r[1]) for r in AWKWARD], *enumerate(made, 100)]
     rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
@@ -331,3 +332,20 @@ def test_licenses_that_differ_in_one_word(spark):
     }
     rows = license_scan.scan(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
     assert {r.doc_id: r.labels for r in rows} == dict(enumerate(texts.values()))
+
+
+def test_licenses_across_lines_and_in_order(spark):
+    """Notices wrapped as they usually are, and texts that hold a license's words in another order."""
+    texts = {
+        "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that": "bsd",
+        "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy": "mpl",
+        "you may not use this file except\n * in compliance with\n * the License.": "apache",
+        "it under the terms of the GNU General Public\nLicense as published": "gpl",
+        "GNU Lesser General\nPublic License as published by the Free Software Foundation": "lgpl",
+        "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software": "mit",
+        "all of the seats were reserved and the rights of way closed": "",
+        "by the door; room 4, floor 0, cc to sales": "",
+        "Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+    }
+    rows = license_scan.scan(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.labels for r in rows} == dict(enumerate(texts.values()))
