@@ -5,16 +5,18 @@ elements. Each block becomes a vector of hashed path parts (tags, class and id w
 measures; a bidirectional LSTM in numpy reads the sequence and labels every block with the whole page in view.
 
 There are no labelled pages, so the network is trained from weak ones: a bounded sample of pages is labelled by
-what element and class names say, and varied with further kinds of boilerplate and article markup.
+what element and class names say, and varied with further kinds of boilerplate and article markup. Each page is learned
+once more with its names and telling elements hidden, so that a page without any is judged by text, links and order.
 """
 
 from __future__ import annotations
 
 import html
-import json
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ from strandweave.llm.common import small
 
 #: Pages of the training sample, and blocks of one of them that are learned from.
 SAMPLE, SAMPLE_BLOCKS = 200, 100
+#: Characters of a block of the sample that are learned from.
+TEXT = 2000
 #: Buckets for path parts and for words; measures; units each way; rounds of training.
-PATHS, WORDS, MEASURES, UNITS, ROUNDS = 128, 32, 5, 12, 20
+PATHS, WORDS, MEASURES, UNITS, ROUNDS = 128, 32, 7, 12, 20
 #: Pages labelled at a time, and blocks of a page up to which its neighbours are padded to one length.
 TOGETHER = 128
 
@@ -45,31 +49,109 @@ _NOT_TEXT = set(
     "popup modal overlay newsletter subscribe share social related recommended comment comments reply replies disqus pagination pager copyright widget toolbar dialog masthead".split()
 )
 _ARTICLE = {"article", "main"}
+#: Elements that tell what they hold.
+_TELLING = _ARTICLE | {"nav", "header", "footer", "aside", "form", "section", "label", "menu"}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 _SELF_CLOSED = re.compile(r"""(?:^|[\s"']|(?:^|\s)[^\s=/"'>]+)/\s*\Z""")  # a slash that ends an unquoted value is part of it
 
-Block = tuple[str, tuple[str, ...], float]
+#: What ends what: an element, and the elements beyond which no open one is looked for.
+_SCOPES = {"p": {"article", "aside", "body", "div", "footer", "header", "main", "nav", "section", "table", "td", "th", "ul", "ol", "li"}, "svg": {"foreignobject"}, "select": set(), "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+_SCOPES |= {tag: _ITEMS[tag] for tag in ("li", "dt", "dd", "option")}
+_SCOPED = set(_SCOPES).union(*_SCOPES.values())
+
+
+def _bucket(s: str, n: int) -> int:
+    return zlib.crc32(s.encode("utf-8", "surrogatepass")) % n
+
+
+class Path:
+    """The open elements around a block: what is needed of them, kept as each is opened, whatever the depth.
+
+    ``mask``: hashed path parts; ``article``, ``other``, ``head``: whether an element is an article, a name says it is none,
+    or it is a header; ``hidden``: the mask with no names and with every element of a telling kind as a plain one.
+    """
+
+    __slots__ = ("mask", "hidden", "article", "other", "head", "unseen", "control")
+
+    def __init__(self, mask=0, hidden=0, article=False, other=False, head=False, unseen=False, control=False):
+        self.mask, self.hidden, self.article, self.other, self.head, self.unseen, self.control = mask, hidden, article, other, head, unseen, control
+
+    def inside(self, tag: str, names: list[str] = ()) -> Path:
+        out, words = Path(self.mask, self.hidden, self.article, self.other, self.head, self.unseen, self.control), {tag, *names}
+        for p in (tag, *[f".{n}" for n in names]):
+            out.mask |= _bit(p)
+        out.hidden |= _bit("div" if tag in _TELLING else tag)
+        out.article |= tag in _ARTICLE
+        out.other |= not words.isdisjoint(_NOT_TEXT)
+        out.head |= "header" in words
+        out.unseen |= tag in _UNSEEN
+        if tag not in _INLINE:
+            out.control = tag in _CONTROLS
+        return out
+
+    @property
+    def silent(self) -> bool:
+        """Whether a block here is a control or drawing."""
+        return self.unseen or self.control
+
+
+@lru_cache(maxsize=50_000)
+def _bit(part: str) -> int:
+    return 1 << _bucket(part, PATHS)
+
+
+def path_of(parts) -> Path:
+    """A path from parts: element names, each followed by its names with a point before them."""
+    out, at = Path(), list(parts)
+    while at:
+        n = next((i for i in range(1, len(at)) if at[i][0] != "."), len(at))
+        out, at = out.inside(at[0], [p[1:] for p in at[1:n]]), at[n:]
+    return out
+
+
+Block = tuple[str, Path, float]
+
+
+class _Tags:
+    """Where tags of a page end. A quote that leads nowhere is remembered, so no stretch is searched twice in vain."""
+
+    def __init__(self, page: str):
+        self.page, self.dead, self.last = page, set(), page.rfind(">")
+
+    def end(self, at: int) -> int:
+        """Place of the bracket that ends a tag whose names begin at ``at``: outside quotes, or else the first; -1 if none."""
+        if self.last < at:
+            return -1
+        seen, place = [], at
+        while (m := _STOP.search(self.page, place)) and m.start() not in self.dead:
+            if m[0] == ">":
+                return m.start()
+            seen.append(m.start())
+            place = self.page.find(m[0], m.end()) + 1
+            if not place:
+                break
+        self.dead.update(seen)
+        return self.page.find(">", at)
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """(text, path parts, share of linked characters) of the leaf blocks of a page, in order."""
+    """(text, path, share of linked characters) of the leaf blocks of a page, in order; in time linear in its length."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path, dict[str, int]]] = []  # element, path, nearest open element of each scope
+    opened: dict[str, list[int]] = {}
     text: list[str] = []
-    state = {"path": (), "linked": 0, "length": 0}
+    state = {"path": Path(), "linked": 0, "length": 0}
 
     def flush() -> None:
         joined = " ".join("".join(text).split())
         if joined:
             out.append((joined, state["path"], state["linked"] / max(1, state["length"])))
         text.clear()
-        state.update(path=(), linked=0, length=0)
+        state.update(path=Path(), linked=0, length=0)
 
     def add(raw: str) -> None:
         if not raw:
@@ -77,95 +159,111 @@ def leaf_blocks(page: str) -> list[Block]:
         piece = html.unescape(raw) if "&" in raw else raw
         if piece.strip():
             if not state["length"]:
-                state["path"] = tuple(p for _, parts in stack for p in parts)
+                state["path"] = stack[-1][1] if stack else Path()
             state["length"] += len(piece)
-            if any(tag == "a" for tag, _ in stack):
+            if opened.get("a"):
                 state["linked"] += len(piece)
         text.append(piece)
 
-    def close(tag: str, limit: set[str] = frozenset()) -> None:
-        for n in range(len(stack) - 1, -1, -1):
-            if stack[n][0] == tag:
-                del stack[n:]
-                return
-            if stack[n][0] in limit:
-                return
-
-    at = 0
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag, ends, names = (m[2] or m[5] or "").lower(), m[1] or m[4], m[3] or m[6] or ""
-        if not tag:
+    def cut(n: int) -> None:
+        while len(stack) > n:
+            opened[stack.pop()[0]].pop()
+
+    def close(tag: str) -> None:
+        """End the nearest open element of a scope, if there is one."""
+        n = stack[-1][2].get(tag, -1) if stack else -1
+        if n >= 0:
+            cut(n)
+
+    def push(tag: str, names: str) -> None:
+        parts = [p for g in _NAMES.findall(names) for p in _PART.findall("".join(g).lower())] if "=" in names else []
+        around, scopes = (stack[-1][1], stack[-1][2]) if stack else (Path(), {})
+        if tag in _SCOPED:
+            scopes = {k: n for k, n in scopes.items() if tag not in _SCOPES[k]}
+            if tag in _SCOPES:
+                scopes[tag] = len(stack)
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append((tag, around.inside(tag, parts), scopes))
+
+    at, tags = 0, _Tags(page)
+    while (here := page.find("<", at)) >= 0:
+        mark, name = page[here + 1 : here + 2], None
+        if mark == "!" and (page.startswith("<!--", here) or page.startswith("<![CDATA[", here)):
+            add(page[at:here])
+            close_mark = "-->" if page.startswith("<!--", here) else "]]>"
+            end = page.find(close_mark, here + 4)
+            at = end + len(close_mark) if end >= 0 else len(page)
+            continue
+        ends = mark == "/"
+        name = _NAME.match(page, here + 1 + ends)
+        end = tags.end(name.end()) if name else page.find(">", here) if mark and mark in "!?/" and tags.last > here else -1
+        if end < 0:  # no tag
+            add(page[at : here + 1])
+            at = here + 1
             continue
+        add(page[at:here])
+        at = end + 1
+        if not name:
+            continue
+        tag, names = name[0].lower(), page[name.end() : end]
         if tag not in _INLINE:
             flush()
         elif tag == "br":
             text.append(" ")
         if ends:
-            close(tag)
-        elif "/" in names and (tag in _MAY_BE_EMPTY or any(t == "svg" for t, _ in stack)) and _SELF_CLOSED.search(names):
+            if opened.get(tag):
+                cut(opened[tag][-1])
+        elif "/" in names and (tag in _MAY_BE_EMPTY or opened.get("svg")) and _SELF_CLOSED.search(names):
             continue
         elif tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            stop = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            end = page.find(">", stop.end()) if stop else -1
+            at = end + 1 if end >= 0 else len(page)
         elif tag not in _VOID:
             if tag in _CLOSES_P:
-                close("svg", {"foreignobject"})  # block markup ends what was left open
-                close("select")
-                close("p", {"article", "aside", "body", "div", "footer", "header", "main", "nav", "section", "table", "td", "th", "ul", "ol", "li"})
-            if tag in _ITEMS:
-                for other in _ITEMS if tag in ("td", "th") else {tag}:
-                    if other in (tag, "td", "th"):
-                        close(other, _ITEMS[tag] | ({"tr"} if tag in ("td", "th") else set()))
-            parts = (tag, *[f".{p}" for g in _NAMES.findall(names) for p in _PART.findall("".join(g).lower())]) if "=" in names else (tag,)
-            stack.append((tag, parts))
+                for scope in ("svg", "select", "p"):  # block markup ends what was left open
+                    close(scope)
+            if tag in ("td", "th"):
+                close("td")
+                close("th")
+            elif tag in _ITEMS:
+                close(tag)
+            push(tag, names)
     add(page[at:])
     flush()
     return out
 
 
-def unseen(path: tuple[str, ...]) -> bool:
+def unseen(path: Path) -> bool:
     """Whether a block is a control or drawing, by the elements around it."""
-    tags = [p for p in path if p[0] != "." and p not in _INLINE]
-    return bool(tags) and (tags[-1] in _CONTROLS or not _UNSEEN.isdisjoint(tags))
+    return path.silent
 
 
 def weak_labels(blocks: list[Block]) -> np.ndarray:
     """1 for article text and 0 for the rest, as far as names in the path tell."""
-    inside = any(_ARTICLE & set(p) for _, p, _ in blocks)
-    out = []
-    for _, path, linked in blocks:
-        named = {p.lstrip(".") for p in path}
-        article = bool(_ARTICLE & set(path))
-        head = "header" in named and not article
-        out.append(not (_NOT_TEXT & named) and not head and not unseen(path) and (article or not inside) and (article or linked < 0.5))
-    return np.array(out, float)
-
-
-def _bucket(s: str, n: int) -> int:
-    return zlib.crc32(s.encode("utf-8", "surrogatepass")) % n
+    inside = any(p.article for _, p, _ in blocks)
+    return np.array([not p.other and not (p.head and not p.article) and not p.silent and (p.article or not inside) and (p.article or linked < 0.5) for _, p, linked in blocks], float)
 
 
 class Hasher:
-    """Block vectors; buckets of words and path parts are remembered, up to a bound."""
+    """Block vectors; buckets of words are remembered, up to a bound."""
 
     def __init__(self):
         self.words: dict[str, int] = {}
-        self.paths: dict[tuple, list[int]] = {}
 
-    def vectors(self, blocks: list[Block]) -> np.ndarray:
+    def vectors(self, blocks: list[Block], hidden: bool = False) -> np.ndarray:
+        """A row a block; with ``hidden``, as if no element had a name or was of a kind that tells what it holds."""
         x = np.zeros((len(blocks), PATHS + WORDS + MEASURES), np.float32)
-        if len(self.words) > 200_000 or len(self.paths) > 50_000:
+        if len(self.words) > 200_000:
             self.__init__()
-        for n, (text, path, linked) in enumerate(blocks):
-            if path not in self.paths:
-                self.paths[path] = [_bucket(p, PATHS) for p in path]
-            x[n, self.paths[path]] = 1
+        masks = b"".join((p.hidden if hidden else p.mask).to_bytes(PATHS // 8, "little") for _, p, _ in blocks)
+        if blocks:
+            x[:, :PATHS] = np.unpackbits(np.frombuffer(masks, np.uint8).reshape(len(blocks), -1), axis=1, bitorder="little")
+        for n, (text, _, linked) in enumerate(blocks):
             words = text.split(" ")
             at = [self.words[w] if w in self.words else self.words.setdefault(w, _bucket(w.lower(), WORDS)) for w in words]
             x[n, PATHS : PATHS + WORDS] = np.bincount(at, minlength=WORDS) / len(words)
-            x[n, PATHS + WORDS :] = np.log1p(len(words)) / 5, linked, sum(text.count(c) for c in ".,;!?") / len(words), n / len(blocks), 1
+            x[n, PATHS + WORDS :] = np.log1p(len(words)) / 5, linked, sum(text.count(c) for c in ".,;!?") / len(words), n / len(blocks), text[-1] in ".!?\"'”»", text[:1].isupper(), 1
         return x
 
 
@@ -278,32 +376,51 @@ def varied(blocks: list[Block], rng: np.random.Generator) -> list[Block]:
             made = _BOILER[rng.integers(len(_BOILER))]
             n, at = int(rng.integers(1, 60)), int(rng.integers(len(words)))
             for _ in range(int(rng.integers(1, 4))):
-                out.append((" ".join(words[at : at + n]) or "text", ("html", "body", *made), float(made[-1] == "a")))
-        if _ARTICLE & set(path) and rng.random() < 0.4:
-            path = ("html", "body", *outer, *_ARTICLES[rng.integers(len(_ARTICLES))])
+                out.append((" ".join(words[at : at + n]) or "text", path_of(("html", "body", *made)), float(made[-1] == "a")))
+        if path.article and rng.random() < 0.4:
+            path = path_of(("html", "body", *outer, *_ARTICLES[rng.integers(len(_ARTICLES))]))
         if rng.random() < 0.1:
             text = " ".join(text.split(" ")[: int(rng.integers(1, 6))])
         out.append((text, path, linked))
     return out
 
 
+def hard(blocks: list[Block], labels: np.ndarray, rng: np.random.Generator) -> list[Block]:
+    """A page to be read with its names hidden: boilerplate is short or linked, as nothing else tells it apart there."""
+    out = []
+    for (text, path, linked), article in zip(blocks, labels, strict=True):
+        words = text.split(" ")
+        if not article and linked < 0.5 and len(words) > 12:
+            text = " ".join(words[: int(rng.integers(2, 13))]).rstrip(".,;!?")
+        out.append((text, path, linked))
+    return out
+
+
+def _state(p: Path) -> tuple:
+    return tuple(getattr(p, n) for n in Path.__slots__)
+
+
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """Fit the labeller on a bounded sample of pages, drawn by hash; an empty table leaves it unfitted."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches, 200):
-            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(leaf_blocks(h)[:SAMPLE_BLOCKS]) for h in b.column(0).to_pylist()])], ["blocks"])
-
     rows = pages.where("html is not null").select(F.col("html").cast("string"))
     count = rows.count()
     drawn = rows.where(F.pmod(F.xxhash64("html"), F.lit(1 << 40)) < int(min(1, sample / max(1, count)) * (1 << 40)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches, 200):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps([(t[:TEXT], *_state(p), x) for t, p, x in leaf_blocks(h)[:SAMPLE_BLOCKS]]) for h in b.column(0).to_pylist()], pa.binary())], ["blocks"])
+
     # Copies of one page are one example, so the sample stays small where one page is a large share of all.
-    found = sorted(r["blocks"] for r in drawn.distinct().limit(4 * sample).mapInArrow(read, "blocks string").collect())
+    found = sorted(bytes(r["blocks"]) for r in drawn.distinct().limit(4 * sample).mapInArrow(read, "blocks binary").collect())
     rng, hasher, examples = np.random.default_rng(0), Hasher(), []
-    for blocks in ([(t, tuple(p), linked) for t, p, linked in json.loads(x)] for x in found):
+    for blocks in ([(t, Path(*p), x) for t, *p, x in pickle.loads(b)] for b in found):
         for page in [blocks, varied(blocks, rng)]:
             if page:
-                examples.append((hasher.vectors(page), weak_labels(page)))
+                labels = weak_labels(page)
+                examples.append((hasher.vectors(page), labels))
+                if 0 < labels.mean() < 1 or page is blocks:
+                    examples.append((hasher.vectors(hard(page, labels, rng), hidden=True), labels))
     model = Labeller()
     if examples:
         model.fit(examples)
@@ -326,7 +443,7 @@ def _extractor(shared):
                 some = order[lo:hi]
                 x, mask, _ = padded([(hasher.vectors(pages[n]), None) for n in some])
                 for n, s in zip(some, model.scores(x, mask), strict=True):
-                    texts[n] = "\n\n".join(p[0] for p, v in zip(pages[n], s.tolist(), strict=False) if v > 0 and not unseen(p[1]))
+                    texts[n] = "\n\n".join(p[0] for p, v in zip(pages[n], s.tolist(), strict=False) if v > 0 and not p[1].silent)
                 lo = hi
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -337,7 +454,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page row: the article's blocks in order, two newlines between.
 
     A null or empty html gives an empty text. Repeated rows are read each by itself and give the same; an empty
-    table gives no row; very long pages are read as one sequence. White space inside a block is one space.
+    table gives no row; very long pages are read as one sequence, in time linear in their length. White space inside a
+    block is one space.
     """
     model = train(pages)
     shared = pages.sparkSession.sparkContext.broadcast(model)

@@ -213,3 +213,36 @@ def test_pipeline_stages(spark, data):
     assert counts[0] >= counts[1] == counts[2] and counts[3] == counts[4]
     assert pipeline.run(spark, data).count() == counts[-1]
     assert docs.select(F.min("n_tokens")).first()[0] >= 0
+
+
+def test_pages_are_parsed_in_linear_time():
+    import time
+
+    for page in ("<a " * 350_000, "<div>" * 200_000 + "x", '<a title="' * 100_000, "<a title='\">\"" * 90_000, ("<span>" * 100 + "</x>" * 100) * 600, "<table><tr><td><p>" + "<h1>x" * 60_000, "<script </script " * 50_000, "<!--" * 200_000, "<ul>" + "<li><b>x" * 60_000):
+        start = time.perf_counter()
+        html_blocks.leaf_blocks(page)
+        assert time.perf_counter() - start < 15, page[:20]
+
+
+def test_pages_without_names_give_their_article(spark):
+    """Trained on named pages, read on templates that were not learned and name nothing."""
+    rng = random.Random(8)
+    words = ["one", "two", "tree", "house", "water", "light", "stone", "river", "over", "under", "green", "while"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    named, plain, want = [], [], {}
+    for n in range(80):
+        head, body = say(rng.randint(3, 8)), [say(rng.randint(8, 60)) for _ in range(rng.randint(2, 7))]
+        named.append((n, "u", f"<body><nav><ul>{''.join(f'<li><a href=x>{say(1)}</a>' for _ in range(5))}</ul></nav><div class=ad>{say(6)}</div><article><h1>{head}</h1>{''.join(f'<p>{p}</p>' for p in body)}</article><footer>(c) me</footer></body>"))
+        page = f"<div><h1>{head}</h1>{''.join(f'<p>{p}</p>' for p in body)}</div>"
+        page = page if n % 2 else f"<div><div><a href=/>Home</a> <a href=/a>About</a></div>{page}<div><a href=t>Terms</a></div></div>"
+        plain.append((1000 + n, "u", page))
+        want[1000 + n] = [head, *body]
+    got = {r.page_id: r.text.split("\n\n") for r in html_blocks.extract(spark.createDataFrame(named + plain[:0], "page_id long, url string, html string").union(spark.createDataFrame(plain[:4], "page_id long, url string, html string"))).collect() if r.page_id >= 1000}
+    model = html_blocks.train(spark.createDataFrame(named, "page_id long, url string, html string"))
+    wrong = blocks = lost = 0
+    for i, _, page in plain:
+        own = html_blocks.leaf_blocks(page)
+        x, mask, _ = html_blocks.padded([(html_blocks.Hasher().vectors(own), None)])
+        kept = {t for (t, _, _), v in zip(own, model.scores(x, mask)[0].tolist(), strict=True) if v > 0}
+        wrong, blocks, lost = wrong + len(kept ^ set(want[i])), blocks + len(own), lost + (not kept)
+    assert wrong < 0.15 * blocks and lost <= 2 and len(got) == 4
