@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.operators.graph import components
+
 FIELDS = ["q_start", "q_end", "ref_start", "ref_end", "strand"]
 
 
@@ -31,29 +32,13 @@ def chain_links(mappings: DataFrame, gap: int) -> DataFrame:
 
 
 def chain_ids(mappings: DataFrame, links: DataFrame) -> DataFrame:
-    """Mappings with ``chain_id``, the smallest map_id of their chain; resolved a query and target at a time.
+    """Mappings with ``chain_id``, the smallest map_id of their chain: the components of the links, by rounds of joins.
 
-    Each mapping links to at most one later one, so the links of a group are a forest.
+    No query or target is gathered in one task, however many mappings it has.
     """
-    rows = mappings.select("map_id", "q_id", "ref_id", "strand").join(links, "map_id", "left")
-
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        parent = {int(m): int(m) for m in group["map_id"]}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for m, n in zip(group["map_id"], group["next_id"], strict=True):
-            if not pd.isna(n):
-                a, b = root(int(m)), root(int(n))
-                parent[max(a, b)] = min(a, b)
-        return pd.DataFrame({"map_id": group["map_id"], "chain_id": [root(int(m)) for m in group["map_id"]]})
-
-    found = rows.groupBy("q_id", "ref_id", "strand").applyInPandas(resolve, "map_id long, chain_id long")
-    return mappings.join(found, "map_id")
+    roots = components(links.select(F.col("map_id").alias("a"), F.col("next_id").alias("b")))
+    found = mappings.join(roots.select(F.col("node").alias("map_id"), "root"), "map_id", "left")
+    return found.withColumn("chain_id", F.coalesce("root", "map_id")).drop("root")
 
 
 def merge_chains(mappings: DataFrame) -> DataFrame:

@@ -8,29 +8,38 @@ from pyspark.sql import functions as F
 from strandweave.functions import kmers as K
 from strandweave.functions.stats import j2md_column
 from strandweave.operators import sketch
+from strandweave.session import settle
 
 
 def text_sketches(sequences: DataFrame, length: int, k: int, s: int, algorithm: str) -> DataFrame:
     frags = K.fragments(sequences, length, k)
-    return sketch.bottom_sketch(K.kmers(frags, k, algorithm, "text"), s)
+    return sketch.fragment_sketches(frags, k, s, algorithm, "text")
 
 
 def similar_fragments(sequences: DataFrame, length: int = 200, k: int = 12, s: int = 20, identity: float = 0.9, percent: float = 0.1, algorithm: str = "xxhash64") -> DataFrame:
     """Pairs of fragments of different sequences, the later one first, whose shared seeds imply ``identity``.
 
-    Frequent seeds go first, as they tell nothing and are what would skew the join. Shared seeds are counted by the
+    Frequent seeds go first, as they tell nothing and are what would skew the join. Fragments of equal sketches form a
+    class; only classes are joined, and only similar ones are spread over their members. Shared seeds are counted by the
     join's own grouping; the Jaccard is of the two sketches, whatever they lost to frequent seeds.
     """
-    marks = text_sketches(sequences, length, k, s, algorithm)
+    marks = settle(text_sketches(sequences, length, k, s, algorithm).select("seq_id", "frag_no", "hash"))
     counts = sketch.seed_counts(marks)
     frequent = sketch.frequent_seeds(counts, sketch.frequency_threshold(sketch.frequency_histogram(counts), percent))
     kept = sketch.drop_seeds(marks, frequent)
-    sizes = kept.groupBy("seq_id", "frag_no").agg(F.count(F.lit(1)).alias("size"))
-    seeds = kept.join(sizes, ["seq_id", "frag_no"]).select("hash", "seq_id", "frag_no", "size")
-    left = seeds.select("hash", *[F.col(c).alias(f"q_{c}") for c in ("seq_id", "frag_no", "size")])
-    right = seeds.select("hash", *[F.col(c).alias(f"t_{c}") for c in ("seq_id", "frag_no", "size")])
-    pairs = left.join(right, "hash").where("q_seq_id > t_seq_id")
-    shared = pairs.groupBy("q_seq_id", "q_frag_no", "t_seq_id", "t_frag_no").agg(F.count(F.lit(1)).alias("shared"), F.first("q_size").alias("q_size"), F.first("t_size").alias("t_size"))
-    jaccard = F.col("shared") / (F.col("q_size") + F.col("t_size") - F.col("shared"))
-    found = shared.withColumn("jaccard", jaccard).withColumn("identity", 1 - j2md_column(F.col("jaccard"), k))
-    return found.where(F.col("identity") >= identity).select(F.col("q_seq_id").alias("q_id"), "q_frag_no", F.col("t_seq_id").alias("t_id"), "t_frag_no", "shared", F.round("jaccard", 6).alias("jaccard"), F.round("identity", 6).alias("identity"))
+    sized = settle(kept.groupBy("seq_id", "frag_no").agg(F.sort_array(F.collect_list("hash")).alias("own")))  # at most a sketch a fragment
+    classes = settle(sized.groupBy("own").agg(F.min(F.struct("seq_id", "frag_no")).alias("class")))
+    members = sized.join(classes, "own").select("class", "seq_id", "frag_no")
+    seeds = classes.select("class", F.size("own").alias("size"), F.explode("own").alias("hash"))
+    left, right = (seeds.select("hash", F.col("class").alias(f"{c}_class"), F.col("size").alias(f"{c}_size")) for c in "ab")
+    pairs = left.join(right, "hash").where("a_class <= b_class")
+    shared = pairs.groupBy("a_class", "b_class").agg(F.count(F.lit(1)).alias("shared"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"))
+    jaccard = F.col("shared") / (F.col("a_size") + F.col("b_size") - F.col("shared"))
+    found = shared.withColumn("jaccard", jaccard).withColumn("identity", 1 - j2md_column(F.col("jaccard"), k)).where(F.col("identity") >= identity)
+    for c in "ab":
+        found = found.join(members.select(F.col("class").alias(f"{c}_class"), F.struct("seq_id", "frag_no").alias(f"{c}_at")), f"{c}_class")
+    # Of two members of one class both orders come; of two classes, only one.
+    found = found.where("a_class <> b_class or a_at.seq_id > b_at.seq_id").where("a_at.seq_id <> b_at.seq_id")
+    later, earlier = F.greatest("a_at", "b_at"), F.least("a_at", "b_at")
+    found = found.select(later.alias("q"), earlier.alias("t"), "shared", F.round("jaccard", 6).alias("jaccard"), F.round("identity", 6).alias("identity"))
+    return found.select(F.col("q.seq_id").alias("q_id"), F.col("q.frag_no").alias("q_frag_no"), F.col("t.seq_id").alias("t_id"), F.col("t.frag_no").alias("t_frag_no"), "shared", "jaccard", "identity")

@@ -115,7 +115,7 @@ sk as (select * from (select *, row_number() over (partition by seq_id, frag_no
 
 
 def _text_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.bottom_sketch(K.kmers(K.fragments(_texts(spark, sf_dir), LENGTH, K_TEXT), K_TEXT, HASH, "text"), SIZE)
+    return sketch.fragment_sketches(K.fragments(_texts(spark, sf_dir), LENGTH, K_TEXT), K_TEXT, SIZE, HASH, "text")
 
 
 @query(f"select doc_id, md5(n) as normalised_md5, md5(reverse(translate(n, 'ACGT', 'TGCA'))) as revcomp_md5, length(n)::bigint as len from (select doc_id, regexp_replace(translate(text, {LETTERS}, {CAPITALS}), '[^ACGT]', 'N', 'g') as n from documents)")
@@ -158,7 +158,7 @@ def bottom_s_sketch(spark, sf_dir):
 @query(f"with {_frags('text')}, {_marks()}, {SKETCH} select seq_id, frag_no, sketch_size, round(sketch_size / (max_hash::double / 1152921504606846976) / (2 * (n - {K_TEXT} + 1)), 6) as kmer_complexity from (select seq_id, frag_no, count(*)::bigint as sketch_size, max(hash) as max_hash from sk group by all) join (select seq_id, frag_no, length(frag) as n from frags) using (seq_id, frag_no)")
 def kmer_complexity(spark, sf_dir):
     frags = K.fragments(_texts(spark, sf_dir), LENGTH, K_TEXT)
-    s = sketch.bottom_sketch(K.kmers(frags, K_TEXT, HASH, "text"), SIZE)
+    s = sketch.fragment_sketches(frags, K_TEXT, SIZE, HASH, "text")
     return sketch.kmer_complexity(s, frags, K_TEXT, 60).withColumn("kmer_complexity", F.round("kmer_complexity", 6))
 
 

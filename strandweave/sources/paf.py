@@ -46,6 +46,11 @@ def read_mappings(spark: SparkSession, path: str, legacy: bool = False) -> DataF
     return parse(spark.read.text(path), legacy)
 
 
+def write_result(m: DataFrame, path: str, p) -> None:
+    """Write mappings in the form that a run's parameters ask for: the older lines, or PAF with the Jaccard tag if unmerged."""
+    write_mappings(m, path, p.legacy_output, p.no_merge)
+
+
 def write_mappings(m: DataFrame, path: str, legacy: bool = False, jaccard: bool = False) -> None:
     (to_legacy(m) if legacy else to_paf(m, jaccard)).write.mode("overwrite").text(path)
 

@@ -107,3 +107,16 @@ def test_alignment_limit_and_forms():
     rng = random.Random(1)
     q = "".join(rng.choice("ACGT") for _ in range(3000))
     assert A.align_pair(q, "GG" + q + "TT")[0] == 0
+
+
+@pytest.mark.parametrize("algorithm", ["xxhash64", "md5_60", "murmur3"])
+@pytest.mark.parametrize("alphabet", ["dna", "text"])
+def test_sketches_within_rows_are_those_of_all_kmers(spark, algorithm, alphabet):
+    from strandweave.operators import sketch
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ACGTN" if i % 3 else "ACGT") for _ in range(rng.randint(0, 700))) for i in range(25)] + ["ACGT" * 40, "", "é漢字ß" * 30 if alphabet == "text" else "NNNNNNNNNNNN"]
+    frags = K.fragments(spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string"), 300, 11)
+    columns = ["seq_id", "frag_no", "hash", "pos", "strand", "rank"]
+    want = sketch.bottom_sketch(K.kmers(frags, 11, algorithm, alphabet), 20).select(columns).collect()
+    assert sorted(map(tuple, sketch.fragment_sketches(frags, 11, 20, algorithm, alphabet).select(columns).collect())) == sorted(map(tuple, want))
