@@ -11,6 +11,8 @@ DataFrame functions; the templates and their tokens are a fixed, small table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,9 +94,17 @@ def _blocks(words: Column, known: Column) -> Column:
     count = F.size(words) - 2
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1))), lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1)))
     starts = F.sequence(F.lit(0), F.greatest(count - (BLOCK - STEP) - 1, F.lit(0)), F.lit(STEP))
-    each = F.when(count <= BLOCK, F.array(F.array_intersect(known, pairs))).otherwise(F.transform(starts, lambda i: F.array_intersect(known, F.slice(pairs, i + 1, BLOCK - 1))))
-    kept = F.filter(each, lambda x: F.size(x) > 0)
-    return F.when(count >= 2, F.when(F.size(kept) > 0, kept))
+
+    def split(all_pairs: Column, held: Column) -> Column:
+        each = F.transform(starts, lambda i: F.array_intersect(held, F.slice(all_pairs, i + 1, BLOCK - 1)))
+        return F.when(F.size(held) > 0, F.when(count <= BLOCK, F.array(held)).otherwise(F.filter(each, lambda x: F.size(x) > 0)))
+
+    return F.when(count >= 2, _bound(pairs, lambda p: _bound(F.array_intersect(known, p), lambda held: split(p, held))))
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, however often ``f`` uses it, also inside array functions."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
