@@ -8,18 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions import kmers as K
 from strandweave.functions import stats
 from strandweave.operators import chains, intervals, minmers, seeds, sketch, skyline
-from strandweave.operators.align import align
+from strandweave.operators.align import align, distance_ends
 from strandweave.params import MapParams
-from strandweave.plans.mapping import map_sequences
+from strandweave.plans.mapping import map_sequences, query_groups, target_groups
 from strandweave.plans.similarity import similar_fragments
+from strandweave.session import settle
 from strandweave.sources import paf
-from strandweave.sources.sequences import total_length
+from strandweave.sources.sequences import only_listed, total_length
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -193,9 +195,11 @@ b as (select distinct item_id, {_md5(f'substr(text, i, {K_TEXT})')} as hash from
 select item_id, seq_id, count(*)::bigint as shared from b join d using (hash) group by all""")
 def seed_join(spark, sf_dir):
     """K-mers that each benchmark item shares with each document; whole-document k-mers by fragment."""
-    docs = K.kmers(K.fragments(_texts(spark, sf_dir), LENGTH, K_TEXT), K_TEXT, HASH, "text").select("seq_id", "hash").distinct()
-    items = K.kmers(K.fragments(_items(spark, sf_dir), LENGTH, K_TEXT, split=False), K_TEXT, HASH, "text").select(F.col("seq_id").alias("item_id"), "hash").distinct()
-    return items.join(docs, "hash").groupBy("item_id", "seq_id").agg(F.count(F.lit(1)).alias("shared"))
+    docs = K.kmers(K.fragments(_texts(spark, sf_dir), LENGTH, K_TEXT), K_TEXT, HASH, "text").select(F.col("seq_id").alias("ref_id"), "hash").distinct()
+    items = K.kmers(K.fragments(_items(spark, sf_dir), LENGTH, K_TEXT, split=False), K_TEXT, HASH, "text").select(F.col("seq_id").alias("q_id"), F.lit(0).alias("frag_no"), "hash").distinct()
+    nowhere = F.lit(0).cast("long")
+    hits = seeds.seed_join(items, docs.select("hash", "ref_id", nowhere.alias("wpos"), nowhere.alias("wpos_end")), items, docs, MapParams())
+    return hits.groupBy(F.col("q_id").alias("item_id"), F.col("ref_id").alias("seq_id")).agg(F.count(F.lit(1)).alias("shared"))
 
 
 @query(f"""{_FREQ}, kept as (select * from sk where hash not in (select hash from cnt, thr where freq >= freq_threshold)),
@@ -289,7 +293,10 @@ def chain_links(spark, sf_dir):
     return chains.chain_links(_mappings(spark, sf_dir), 2000)
 
 
-@query()
+@query(f"""{_LINKS.replace("with maps", "with recursive maps", 1)}, up(map_id, other) as (select map_id, map_id from maps union select up.map_id, e.b from up join (select map_id as a, next_id as b from links union all select next_id, map_id from links) e on up.other = e.a),
+cid as (select map_id, min(other) as chain_id from up group by map_id)
+select chain_id, q_id, ref_id, min(q_start) as q_start, max(q_end) as q_end, min(ref_start) as ref_start, max(ref_end) as ref_end, count(*)::bigint as n_merged, round(avg(identity), 6) as identity,
+  greatest(max(q_end) - min(q_start), max(ref_end) - min(ref_start)) as block_len from maps join cid using (map_id) group by q_id, ref_id, strand, chain_id""")
 def chain_merge(spark, sf_dir):
     m = _mappings(spark, sf_dir)
     return chains.merge_chains(chains.chain_ids(m.drop("n_merged", "block_len"), chains.chain_links(m, 2000))).select("chain_id", "q_id", "ref_id", "q_start", "q_end", "ref_start", "ref_end", "n_merged", F.round("identity", 6).alias("identity"), "block_len")
@@ -383,8 +390,45 @@ def edit_distance_global(spark, sf_dir):
     """Neighbouring items; characters beyond ASCII, which engines count differently, are one mark each."""
     b = _table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "?").alias("text"))
     n = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
-    d = F.levenshtein("text", "other")
-    return b.join(n, "item_id").select("item_id", d.alias("edit_distance"), F.round(d / F.greatest(F.length("text"), F.length("other")), 9).alias("error_rate"))
+
+    @F.pandas_udf("int")
+    def distance(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([distance_ends(x, y, "global")[0] for x, y in zip(left, right, strict=True)], dtype="int32")
+
+    found = b.join(n, "item_id").withColumn("edit_distance", distance("text", "other"))
+    return found.select("item_id", "edit_distance", F.round(F.col("edit_distance") / F.greatest(F.length("text"), F.length("other")), 9).alias("error_rate"))
+
+
+_PAIRS = f"""with {_frags('text')}, {_marks()}, {SKETCH}, g as (select *, 's' || (seq_id // 7) as prefix from seqs),
+hits as (select a.seq_id as q_id, b.seq_id as ref_id, count(*)::bigint as shared from sk a join sk b on a.hash = b.hash where {{where}} group by all)
+select * from hits"""
+
+
+def _self_hits(spark, sf_dir, p: MapParams) -> DataFrame:
+    """Shared seeds of documents under the plan's own groups and conditions; each seven neighbours have one prefix."""
+    named = _texts(spark, sf_dir).withColumn("name", F.concat(F.lit("s"), F.floor(F.col("seq_id") / 7), F.lit("#"), F.col("seq_id")))
+    marks = settle(_text_sketch(spark, sf_dir).select("seq_id", "frag_no", "hash"))
+    targets = settle(target_groups(named, p))
+    nowhere = F.lit(0).cast("long")
+    postings = marks.select("hash", F.col("seq_id").alias("ref_id"), nowhere.alias("wpos"), nowhere.alias("wpos_end"))
+    own = marks.withColumnRenamed("seq_id", "q_id")
+    hits = seeds.seed_join(own, postings, query_groups(named, targets, p), targets, p)
+    return hits.groupBy("q_id", "ref_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
+@query(_PAIRS.format(where="a.seq_id <> b.seq_id"))
+def skip_self(spark, sf_dir):
+    return _self_hits(spark, sf_dir, MapParams(skip_self=True))
+
+
+@query(_PAIRS.format(where="a.seq_id // 7 <> b.seq_id // 7"))
+def skip_prefix(spark, sf_dir):
+    return _self_hits(spark, sf_dir, MapParams(skip_prefix="#"))
+
+
+@query(_PAIRS.format(where="a.seq_id > b.seq_id"))
+def lower_triangular(spark, sf_dir):
+    return _self_hits(spark, sf_dir, MapParams(lower_triangular=True))
 
 
 @query(f"""with {MAPPINGS} select map_id from maps where (q_name <> ref_name or (abs(q_start - ref_start) >= 1.5 * 20 and abs(q_end - ref_end) >= 1.5 * 20)) and q_end - q_start + 1 >= 20 and identity + 1 >= 1.9""")
@@ -419,14 +463,15 @@ def coord_lookup(spark, sf_dir):
 @query("select doc_id, length(case when doc_id in (select doc_id from labels where quality = 1) then text else '' end)::bigint as len from documents")
 def allow_list(spark, sf_dir):
     """Documents off the list keep their id but are empty."""
-    listed = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("listed")).distinct()
-    d = _table(spark, sf_dir, "documents").join(listed, "doc_id", "left")
-    return d.select("doc_id", F.when(F.col("listed"), F.length("text")).otherwise(0).cast("long").alias("len"))
+    listed = _table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("name"))
+    kept = only_listed(_texts(spark, sf_dir), listed)
+    return kept.select(F.col("seq_id").alias("doc_id"), F.length("seq").cast("long").alias("len"))
 
 
 @query("select page_id, url from pages where starts_with(url, 'https://') or starts_with(url, 'http://www.')")
 def name_prefix(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").where(F.col("url").startswith("https://") | F.col("url").startswith("http://www.")).select("page_id", "url")
+    p = _table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("name"), F.col("url").alias("seq"))
+    return only_listed(p, prefixes=("https://", "http://www.")).where("seq <> ''").select("page_id", F.col("name").alias("url"))
 
 
 @query("select 'documents' as file, count(*)::bigint as n, sum(length(text))::bigint as bases from documents union all select 'benchmark', count(*)::bigint, sum(length(text))::bigint from benchmark union all select 'pages', count(*)::bigint, sum(length(html))::bigint from pages")
