@@ -349,3 +349,13 @@ def test_licenses_across_lines_and_in_order(spark):
     }
     rows = license_scan.scan(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
     assert {r.doc_id: r.labels for r in rows} == dict(enumerate(texts.values()))
+
+
+def test_results_do_not_depend_on_how_rows_are_dealt(spark):
+    """Inputs whose rows are dealt out at random, and columns with clashing names, give what a plain scan gives."""
+    rows = [(i, f"text {i // 3} about token=abcdefgh{i // 3:04} and number {i // 3} of them", "en", "a") for i in range(300)]
+    plain = table(spark, rows)
+    for docs in (plain.repartition(4), plain.orderBy(F.rand())):
+        out = secret_scan.redact(docs).collect()
+        assert len(out) == 300 and all("abcdefgh" not in r.text and r.text.startswith(f"text {r.doc_id // 3} ") for r in out)
+        assert sorted(r.doc_id for r in simhash.first_of_each(docs).collect()) == list(range(0, 300, 3))
