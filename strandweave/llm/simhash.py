@@ -27,6 +27,8 @@ RADIUS = 4
 SEGMENTS = 5
 SHINGLE = 4
 SEED = 42
+#: A fingerprint of at least this share of all rows is hot: its rows aren't shuffled, and there are at most HOT such fingerprints.
+HOT = 1000
 #: Shingles hashed at a time, so that a very long text needs bounded memory beside itself.
 BLOCK = 200_000
 
@@ -186,14 +188,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives no row. Equal fingerprints are one node, so groups of copies cost one row each.
     """
     made = settle(fingerprints(docs))
-    nodes = settle(made.groupBy("fp").agg(F.min("doc_id").alias("least")), made.count())
+    rows = made.count()
+    nodes = settle(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), rows)
     count = nodes.count()
     roots = components(fingerprint_links(nodes.select("fp"), count), 10 * count)
     joined = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
     named = joined.groupBy("root").agg(F.min("least").alias("least_of_all"))
     linked = joined.join(named, "root").select("fp", "least_of_all")
-    named_nodes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least_of_all", "least").alias("component_id"))
-    return as_many_parts(made.join(named_nodes, "fp").select("_row", "doc_id", "fp", "component_id"), docs)
+    named_nodes = settle(nodes.join(linked, "fp", "left").select("fp", F.coalesce("least_of_all", "least").alias("component_id"), (F.col("n") * HOT >= rows).alias("hot")), count)
+    hot = F.broadcast(named_nodes.where("hot").select("fp", F.col("component_id").alias("hot_id"), "hot"))
+    parts = made.join(hot, "fp", "left")
+    direct = parts.where("hot").select("_row", "doc_id", "fp", F.col("hot_id").alias("component_id"))
+    others = parts.where("hot is null").select("_row", "doc_id", "fp").join(named_nodes.where("not hot").select("fp", "component_id"), "fp")
+    return as_many_parts(direct.unionByName(others), docs)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
