@@ -57,7 +57,9 @@ def plain_components(prints):
     return [find(i) for i in range(len(prints))]
 
 
-def test_simhash_matches_brute_force(spark, data):
+@pytest.mark.parametrize("hot", [0, 20, 1000])
+def test_simhash_matches_brute_force(spark, data, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", hot)  # no, some or all rows go by the broadcast of hot fingerprints
     docs = spark.read.parquet(f"{data}/documents.parquet")
     got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()}
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
