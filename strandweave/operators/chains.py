@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.operators.graph import components
+from strandweave.operators.ordered import running_total
 
 FIELDS = ["q_start", "q_end", "ref_start", "ref_end", "strand"]
 
@@ -102,8 +103,7 @@ def fattest(mappings: DataFrame) -> DataFrame:
 
 def layout_offsets(lengths: DataFrame, order: list[str]) -> DataFrame:
     """Where each sequence begins when all are laid end to end; ``lengths`` has a row a sequence."""
-    by = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return lengths.withColumn("offset", F.coalesce(F.sum(F.col("len") - 1).over(by), F.lit(0).cast("long")))
+    return running_total(lengths, order, F.col("len") - 1, "offset")
 
 
 def locate(points: DataFrame, offsets: DataFrame, width: int) -> DataFrame:

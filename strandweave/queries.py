@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import kmers as K
 from strandweave.functions import stats
-from strandweave.operators import chains, intervals, minmers, seeds, sketch, skyline
+from strandweave.operators import chains, dotplot, intervals, minmers, seeds, sketch, skyline
 from strandweave.operators.align import align, distance_ends
 from strandweave.params import MapParams
 from strandweave.plans.mapping import map_sequences, query_groups, target_groups
@@ -460,6 +460,31 @@ def coord_lookup(spark, sf_dir):
     return chains.locate(points, _layout(spark, sf_dir), 5000).select("event_id", "page_id", "local_pos")
 
 
+_LAYOUT = f"""with {MAPPINGS}, fat as (select * from (select *, row_number() over (partition by q_name order by ref_end - ref_start desc, ref_name desc, ref_start desc, q_start desc, strand) as n from maps) where n = 1),
+refs as (select ref_name as name, max(ref_len) as len, ref_name in (select ref_name from fat) as used from maps group by ref_name),
+lay as (
+  select 'ref' as side, name, len, (sum(len - 1) over (order by not used, case when used then -len else 0 end, name rows unbounded preceding) - (len - 1))::bigint as offset_at, 1 as direction from refs union all
+  select 'q', q_name, q_len, (sum(q_len - 1) over (order by -ref_len, ref_name, ref_start, q_name rows unbounded preceding) - (q_len - 1))::bigint, strand from fat)"""
+
+
+@query(f"{_LAYOUT} select * from lay")
+def plot_layout(spark, sf_dir):
+    sides = zip(("ref", "q"), dotplot.layout(_signed(spark, sf_dir)), strict=True)
+    refs, queries = (df.select(F.lit(side).alias("side"), "name", "len", F.col("offset").alias("offset_at"), "direction") for side, df in sides)
+    return refs.union(queries)
+
+
+@query(f"""{_LAYOUT},
+m as (select map_id, identity, r.offset_at as r_off, q.offset_at as q_off, q.direction, q_len, ref_len, ref_start as x1, ref_end - 1 as x2, case when strand < 0 then q_end - 1 else q_start end as a, case when strand < 0 then q_start else q_end - 1 end as b
+  from maps join lay r on r.side = 'ref' and r.name = ref_name join lay q on q.side = 'q' and q.name = q_name),
+f as (select *, case when direction = -1 then q_len - a + 1 else a end as y1, case when direction = -1 then q_len - b + 1 else b end as y2 from m)
+select map_id, x1 + r_off as x1, y1 + q_off as y1, x2 + r_off as x2, y2 + q_off as y2, (x1 < x2) = (y1 < y2) as forward,
+  (x1 - 1 > 500 and y1 - 1 > 500 and ref_len - x1 > 500 and q_len - y1 > 500) or (x2 - 1 > 500 and y2 - 1 > 500 and ref_len - x2 > 500 and q_len - y2 > 500) as broken from f""")
+def plot_rows(spark, sf_dir):
+    m = _signed(spark, sf_dir)
+    return dotplot.plot_rows(m, *dotplot.layout(m), 500).select("map_id", "x1", "y1", "x2", "y2", "forward", "broken")
+
+
 @query("select doc_id, length(case when doc_id in (select doc_id from labels where quality = 1) then text else '' end)::bigint as len from documents")
 def allow_list(spark, sf_dir):
     """Documents off the list keep their id but are empty."""

@@ -120,3 +120,46 @@ def test_sketches_within_rows_are_those_of_all_kmers(spark, algorithm, alphabet)
     columns = ["seq_id", "frag_no", "hash", "pos", "strand", "rank"]
     want = sketch.bottom_sketch(K.kmers(frags, 11, algorithm, alphabet), 20).select(columns).collect()
     assert sorted(map(tuple, sketch.fragment_sketches(frags, 11, 20, algorithm, alphabet).select(columns).collect())) == sorted(map(tuple, want))
+
+
+def full_table(query, target):
+    """The operations by the whole table of distances, insertion before deletion before a pair."""
+    m, n = len(query), len(target)
+    d = [[i + j if not i or not j else 0 for j in range(n + 1)] for i in range(m + 1)]
+    for i in range(1, m + 1):
+        for j in range(1, n + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (query[i - 1] != target[j - 1]))
+    out = []
+    while m or n:
+        if m and d[m][n] == d[m - 1][n] + 1:
+            out, m = [*out, "I"], m - 1
+        elif n and d[m][n] == d[m][n - 1] + 1:
+            out, n = [*out, "D"], n - 1
+        else:
+            out, m, n = [*out, "=" if query[m - 1] == target[n - 1] else "X"], m - 1, n - 1
+    return "".join(reversed(out))
+
+
+@given(st.text("ACG", max_size=30), st.text("ACG", max_size=30))
+def test_operations_in_a_band_are_those_of_the_whole_table(q, t):
+    want = full_table(q, t)
+    assert A.operations(q, t) == want == A.operations(q, t, sum(c != "=" for c in want))
+
+
+def test_operations_of_long_texts():
+    """Over many kept rows; a whole table would take 400 MB."""
+    rng = random.Random(2)
+    q = "".join(rng.choice("ACGT") for _ in range(20_000))
+    t = "".join(c if rng.random() > 0.02 else rng.choice(["", "A", "CG"]) for c in q)
+    distance = A.distance_ends(q, t, "global")[0]
+    ops = A.operations(q, t, distance)
+    assert sum(c != "=" for c in ops) == distance
+    assert sum(c != "D" for c in ops) == len(q) and sum(c != "I" for c in ops) == len(t)
+
+
+def test_cut_out_across_chunks(spark):
+    text = "".join(chr(97 + i % 26) for i in range(A.CHUNK * 2 + 100))
+    seqs = spark.createDataFrame([("a", text), ("b", "")], "name string, seq string")
+    spans = [(0, "a", 3, 9), (1, "a", A.CHUNK - 2, 2 * A.CHUNK + 5), (2, "a", A.CHUNK, A.CHUNK + 1)]
+    got = {r._row: r.out for r in A.cut_out(spark.createDataFrame(spans, "_row long, name string, start long, end long"), seqs, "out").collect()}
+    assert got == {i: text[a:b] for i, _, a, b in spans}
