@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import bpe, hash_search, html_blocks, language_id, license_scan, mixing, pivot_search, secret_scan, simhash, tool_calls
+from strandweave.llm import bpe, code_compression, hash_search, html_blocks, language_id, license_scan, mixing, packing, pivot_search, secret_scan, simhash, tool_calls, turn_repair
 from strandweave.llm.common import read_table
 
 
@@ -52,6 +52,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
@@ -63,6 +75,9 @@ QUERIES = {
     "op8_pivot_search": op8_pivot_search,
     "op9_license_scan": op9_license_scan,
     "op10_simhash": op10_simhash,
+    "op11_code_compression": op11_code_compression,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_packing": op13_packing,
 }
 #: The others have no SQL form on these tables; they are tested against brute force, a round trip or held-out rows.
 ORACLES: dict[str, str] = {
@@ -71,4 +86,6 @@ ORACLES: dict[str, str] = {
     "op3_tool_calls": tool_calls.ORACLE,
     "op8_pivot_search": pivot_search.ORACLE,
     "op9_license_scan": license_scan.ORACLE,
+    "op11_code_compression": code_compression.ORACLE,
+    "op12_turn_repair": turn_repair.ORACLE,
 }
