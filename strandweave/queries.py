@@ -6,6 +6,7 @@ a query, an event's number its place, its value its length.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -19,9 +20,9 @@ from strandweave.operators.align import align, distance_ends
 from strandweave.params import MapParams
 from strandweave.plans.mapping import map_sequences, query_groups, target_groups
 from strandweave.plans.similarity import similar_fragments
-from strandweave.session import settle
-from strandweave.sources import paf
-from strandweave.sources.sequences import only_listed, total_length
+from strandweave.session import remove, settle, shared_folder
+from strandweave.sources import indexed, paf
+from strandweave.sources.sequences import only_listed, read_sequences, total_length
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -511,6 +512,44 @@ def fai_stats(spark, sf_dir):
     return total_length(_table(spark, sf_dir, "documents").select(F.length("text").cast("long").alias("len")))
 
 
+def _through_files(spark, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
+    """What is read from files that are written first; the files go when it is settled."""
+    folder = f"{shared_folder(spark).rstrip('/')}/files_{uuid.uuid4().hex}"
+    write(folder)
+    found = settle(read(folder))
+    remove(spark, folder)
+    return found
+
+
+def _write_indexed(spark, sf_dir, folder: str) -> None:
+    indexed.write_fasta(_bases(spark, sf_dir).where("seq is not null"), f"{folder}/fasta")
+    indexed.write_index(indexed.build_index(spark, f"{folder}/fasta", 1 << 20), f"{folder}/index")
+
+
+@query(f"select doc_id::varchar as name, length(seq)::bigint as len, least(60, length(seq))::int as line_bases, case length(seq) when 0 then 0 else least(60, length(seq)) + 1 end::int as line_width from (select doc_id, {DNA} as seq from documents where text is not null)")
+def fasta_index(spark, sf_dir):
+    """The index of a FASTA file written from the documents."""
+    columns = ["name", "len", "line_bases", "line_width"]
+    return _through_files(spark, lambda f: _write_indexed(spark, sf_dir, f), lambda f: indexed.read_index(spark, f"{f}/fasta", f"{f}/index").select(columns))
+
+
+@query(f"select name, length(s)::bigint as len, md5(s) as seq_md5 from (select doc_id::varchar as name, case when starts_with(doc_id::varchar, '1') or doc_id in (select doc_id from labels where toxic = 1) then {DNA} else '' end as s from documents where text is not null)")
+def indexed_scan(spark, sf_dir):
+    """Documents by name from an indexed file: those of a prefix and of a list, the others' bytes not being read."""
+    listed = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("name"))
+    read = lambda f: indexed.read_indexed(spark, f"{f}/fasta", listed, ("1",), f"{f}/index", 1000).select("name", "len", F.md5("seq").alias("seq_md5"))
+    return _through_files(spark, lambda f: _write_indexed(spark, sf_dir, f), read)
+
+
+@query(f"select doc_id::varchar as name, length(seq)::bigint as len, md5(seq) as seq_md5 from (select doc_id, {DNA} as seq from documents where text is not null)")
+def fastq_wrapped(spark, sf_dir):
+    """Documents through a FASTQ file with wrapped lines, whose quality looks like headers."""
+    wrapped = lambda c: F.regexp_replace(c, "(.{70})", "$1\n")
+    docs = _bases(spark, sf_dir).where("seq is not null")
+    lines = F.concat(F.lit("@"), "name", F.lit(" d\n"), wrapped(F.col("seq")), F.lit("\n+\n"), wrapped(F.translate("seq", "ACGT", "@>+I")))
+    return _through_files(spark, lambda f: docs.select(lines).write.text(f), lambda f: read_sequences(spark, f).select("name", "len", F.md5("seq").alias("seq_md5")))
+
+
 @query("""with f as (select role, count(*)::bigint as n, min(conv_id) as first_id from conversations group by role) select role, (sum(n) over (order by first_id, role))::bigint as n_up_to from f""")
 def running_counts(spark, sf_dir):
     f = _table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first_id"))
