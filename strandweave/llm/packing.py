@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,13 @@ from strandweave.llm.common import settle, small, with_row_id
 
 #: Tokens of a sequence; the id after each document.
 ROOM, END = 4096, 1
-#: Words whose ids a worker remembers, the first it meets; longer words than this are tokenised anew each time.
+ENDING = END.to_bytes(4, "little")
+#: Words, and parts of words, whose ids a worker remembers, the first it meets; longer ones are tokenised anew each time.
 WORDS, WORD = 400_000, 64
+#: Words that are tokenised together.
+TOGETHER = 1000
+#: Fixed value: the tokenizer's parts of a word, here for lower-case letters below U+0180, where digits are these.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ſ0-9²³¹¼½¾]+")
 #: Pieces of one length that are numbered together.
 SHARE = 100_000
 
@@ -37,7 +43,9 @@ class Words:
     """Ids of whole texts, word by word.
 
     This tokenizer drops white space, and none of its steps (composing, lower case, splitting, added tokens, merges)
-    looks across a space; so a text's ids are those of its words, and only words not seen lately are tokenised.
+    looks across a space; so a text's ids are those of its words, and only words not met before are tokenised. Where
+    all letters are simple a word falls into parts that are met more often still. Parts are tokenised together: what
+    ends a part ends with a mark of its own in the vocabulary.
     """
 
     def __init__(self, path: str):
@@ -45,20 +53,45 @@ class Words:
         self.made = Tokenizer.from_file(path)
         self.made.no_truncation()
         self.made.no_padding()
-        self.known: dict[str, list[int]] = {}
+        vocabulary = self.made.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.dtype("<u4")) for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _tokenise(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(parts), TOGETHER):
+            own = parts[at : at + TOGETHER]
+            ids = self._plain([" ".join(own)])[0]
+            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            if len(cuts) != len(own) + 1 or cuts[-1] != len(ids):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            yield from ((w, ids[i:j].tobytes()) for w, i, j in zip(own, cuts, cuts[1:], strict=False))
+
+    def _learn(self, new: list[str]) -> None:
+        simple = {w: PARTS.findall(w.lower()) for w in new if (not w or w.isascii() or max(w) < "\u0180" and "\u0130" not in w) and "<|" not in w}
+        self.parts.update(self._tokenise(list({p for own in simple.values() for p in own}.difference(self.parts))))
+        self.words.update((w, b"".join(map(self.parts.__getitem__, own))) for w, own in simple.items())
+        others = [w for w in new if w not in simple]
+        self.words.update(zip(others, (i.tobytes() for i in self._plain(others)), strict=True))
+
+    def _forget(self, known: dict[str, bytes], before: int) -> None:
+        """Leave out what came after the first ``before`` if it is too long or too much."""
+        for w in list(islice(known, before, None)):
+            if len(w) > WORD or len(known) > WORDS:
+                del known[w]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, followed by the end."""
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for own in words for w in own}.difference(self.known))
-        found = {w: e.ids for w, e in zip(new, self.made.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        get = self.known.get
-        out = []
-        for own in words:
-            ids = chain.from_iterable([i if (i := get(w)) is not None else found[w] for w in own])
-            out.append(np.fromiter(chain(ids, [END]), np.dtype("<u4")))
-        if len(self.known) < WORDS:
-            self.known.update((w, i) for w, i in found.items() if len(w) <= WORD)
+        texts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        before = len(self.words), len(self.parts)
+        self._learn(list({w for own in texts for w in own}.difference(self.words)))
+        out = [np.frombuffer(b"".join(map(self.words.__getitem__, own)) + ENDING, np.dtype("<u4")) for own in texts]
+        self._forget(self.words, before[0])
+        self._forget(self.parts, before[1])
         return out
 
 

@@ -195,6 +195,7 @@ def test_word_ids_equal_the_library(library, monkeypatch):
     letters = [*"abcAB'sS .,\n\t\r\x0b\x1c\x85\xa0éΣσςİIıßﬁé1２中日本한가\U0001f600<|>", "<|endoftext|>", "<|startoftext|>", " ", "'re", "̀"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(4000)] + ["", " ", "x" * 5000, "word " * 5000]
     texts += [f"{chr(c)} {chr(c)}a{chr(c)}" for c in range(0, 0x11000, 7) if not 0xD800 <= c < 0xE000]
+    texts += [f"{chr(c)} a{chr(c)}b1{chr(c)}{chr(c)}' {chr(c)}'s'{chr(c)}" for c in range(0x300)] + ["".join(map(chr, rng.choices(range(0x260), k=30))) for _ in range(3000)]
     want = [e.ids + [1] for e in library.encode_batch(texts, add_special_tokens=False)]
     for most in (packing.WORDS, 100):
         monkeypatch.setattr(packing, "WORDS", most)
