@@ -220,6 +220,9 @@ def mash_distance(spark, sf_dir):
     return r.select(F.col("id").cast("int").alias("shared"), F.round(stats.j2md_column(i, 19), 9).alias("distance"), F.round(stats.md2j_column(F.col("id") / 200, 19), 9).alias("jaccard"))
 
 
+#: Cut-offs of a sketch of 1,000 hashes, as the plan's table has them for runs with larger ones.
+_CUTOFFS = stats.hypergeometric_cutoffs(1000, 19, 0.0, 0.999)
+
 _SWEEP = f"with {MAPPINGS}, ev as (select q_id, q_start as pos, 1 as side from maps union all select q_id, q_end, -1 from maps), p as (select q_id, pos, sum(side) as d from ev group by all), o as (select q_id, pos, sum(d) over (partition by q_id order by pos)::bigint as depth from p)"
 
 
@@ -228,6 +231,15 @@ def l1_sweep(spark, sf_dir):
     return intervals.depth(_mappings(spark, sf_dir), ["q_id"], "q_start", "q_end")
 
 
+@query(f"""{_SWEEP}, x as (select *, 40 * depth as d, max(40 * depth) over (partition by q_id) as best from o)
+select q_id, pos, greatest(80, (select list_extract({_CUTOFFS}::int[], least(1000, floor(least(best, 2500) / 2.5)::int) + 1)))::int as least from x where best >= 80""")
+def hg_raise(spark, sf_dir):
+    """What the best overlap of a query leaves as enough, in a run with sketches of 2,500; each mapping stands for 40 hashes."""
+    depths = intervals.depth(_mappings(spark, sf_dir), ["q_id"], "q_start", "q_end").withColumn("depth", 40 * F.col("depth"))
+    depths = depths.withColumns({"sketch_size": F.lit(2500), "min_hits": F.lit(80)})
+    return seeds.raised(depths, ["q_id"], _CUTOFFS, 2500).select("q_id", "pos", F.col("least").cast("int").alias("least"))
+
+
 _ISLANDS = f"""{_SWEEP}, f as (select *, case when lag(depth) over (partition by q_id order by pos) >= 2 then 0 else 1 end as st from o),
 i as (select *, sum(st) over (partition by q_id order by pos) as isl from f where depth >= 2),
 c as (select q_id, isl, min(pos) as range_start, max(pos) as range_end, max(depth)::bigint as inter from i group by q_id, isl)"""
@@ -329,6 +341,25 @@ def plane_sweep_target(spark, sf_dir):
     return skyline.target_skyline(_mappings(spark, sf_dir), ["q_id"]).select("map_id")
 
 
+def _grouped(spark, sf_dir) -> DataFrame:
+    return _mappings(spark, sf_dir).withColumns({"ref_group": F.floor(F.col("ref_id") / 2), "q_group": F.col("q_id") % 3})
+
+
+@query(f"""with {MAPPINGS.replace("from events)", ", event_id % 4 // 2 as ref_group, user_id % 3 as q_group from events)")},
+qd as (select q_id, ref_group, identity, q_start, ref_id, min(map_id) as map_id, min(q_end) as e from maps group by all),
+qp as (select q_id, ref_group, q_start as pos from qd union select q_id, ref_group, e from qd),
+qa as (select qd.map_id, qd.identity, max(qd.identity) over (partition by p.q_id, p.ref_group, p.pos) as best from qp p join qd on p.q_id = qd.q_id and p.ref_group = qd.ref_group and qd.q_start <= p.pos and p.pos < qd.e),
+kept as (select * from maps where map_id in (select map_id from qa where identity = best)),
+d as (select q_group, ref_id, identity, ref_start, min(map_id) as map_id, min(ref_end) + 1 as e from kept group by all),
+p as (select q_group, ref_id, ref_start as pos from d union select q_group, ref_id, e from d),
+a as (select d.map_id, d.identity, max(d.identity) over (partition by p.q_group, p.ref_id, p.pos) as best from p join d on p.q_group = d.q_group and p.ref_id = d.ref_id and d.ref_start <= p.pos and p.pos < d.e)
+select distinct map_id from a where identity = best""")
+def one_to_one(spark, sf_dir):
+    """Best along the query in each target group, then best along the target in each query group."""
+    kept = skyline.query_skyline(_grouped(spark, sf_dir), ["q_id", "ref_group"], 1)
+    return skyline.one_to_one(kept).select("map_id")
+
+
 @query()
 def plane_sweep_target_top3(spark, sf_dir):
     return skyline.target_skyline(_mappings(spark, sf_dir), ["q_id"], 3).select("map_id")
