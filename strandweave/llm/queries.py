@@ -64,6 +64,12 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of op3 on a table that has calls: conversations told as calls and results."""
+    found = tool_calls.link(tool_calls.with_calls(read_table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "turn", "kind", "id", "state", "level", F.coalesce(F.size("wrong"), F.lit(0)).alias("n_wrong"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
@@ -78,6 +84,7 @@ QUERIES = {
     "op11_code_compression": op11_code_compression,
     "op12_turn_repair": op12_turn_repair,
     "op13_packing": op13_packing,
+    "tool_call_links": tool_call_links,
 }
 #: The others have no SQL form on these tables; they are tested against brute force, a round trip or held-out rows.
 ORACLES: dict[str, str] = {
@@ -88,4 +95,5 @@ ORACLES: dict[str, str] = {
     "op9_license_scan": license_scan.ORACLE,
     "op11_code_compression": code_compression.ORACLE,
     "op12_turn_repair": turn_repair.ORACLE,
+    "tool_call_links": tool_calls.LINKS_ORACLE,
 }
