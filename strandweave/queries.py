@@ -360,7 +360,18 @@ def one_to_one(spark, sf_dir):
     return skyline.one_to_one(kept).select("map_id")
 
 
-@query()
+@query(f"""with recursive {MAPPINGS},
+d as (select q_id, ref_id, identity, ref_start, min(map_id) as map_id, min(ref_end) + 1 as e from maps group by all),
+p as (select q_id, ref_id, pos, row_number() over (partition by q_id, ref_id order by pos) as n from (select q_id, ref_id, ref_start as pos from d union select q_id, ref_id, e from d)),
+live as materialized (select p.q_id, p.ref_id, p.n, list(struct_pack(m := d.map_id, i := d.identity) order by d.identity desc, d.ref_start desc) as l
+  from p left join d on p.q_id = d.q_id and p.ref_id = d.ref_id and d.ref_start <= p.pos and p.pos < d.e and d.ref_start < d.e group by all),
+parts as (select *, list_transform(list_filter(l, lambda x: x.i = l[1].i), lambda x: x.m) as ties, list_transform(list_filter(l, lambda x: x.i < l[1].i), lambda x: x.m) as worse from live),
+walk as (
+  select q_id, ref_id, 0::bigint as n, []::bigint[] as good from p where n = 1
+  union all
+  select w.q_id, w.ref_id, w.n + 1, list_distinct(list_concat(w.good, x.ties, x.worse[1 : greatest(0, 2 - len(list_intersect(x.ties, w.good)))]))
+  from walk w join parts x on w.q_id = x.q_id and w.ref_id = x.ref_id and x.n = w.n + 1)
+select distinct unnest(good) as map_id from walk""")
 def plane_sweep_target_top3(spark, sf_dir):
     return skyline.target_skyline(_mappings(spark, sf_dir), ["q_id"], 3).select("map_id")
 
