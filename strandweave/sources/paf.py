@@ -46,15 +46,31 @@ def read_mappings(spark: SparkSession, path: str, legacy: bool = False) -> DataF
     return parse(spark.read.text(path), legacy)
 
 
+#: The order of a run's output.
+ORDER = ["q_id", "q_start", "ref_id", "ref_start"]
+
+
+def in_order(m: DataFrame) -> DataFrame:
+    """Mappings by query, place in it, target and place there; parts are ranges of that order, so none holds them all."""
+    return m.orderBy(*ORDER, "q_end", "ref_end") if {*ORDER} <= {*m.columns} else m
+
+
 def write_result(m: DataFrame, path: str, p) -> None:
     """Write mappings in the form that a run's parameters ask for: the older lines, or PAF with the Jaccard tag if unmerged."""
     write_mappings(m, path, p.legacy_output, p.no_merge)
 
 
 def write_mappings(m: DataFrame, path: str, legacy: bool = False, jaccard: bool = False) -> None:
+    """Write lines in the final order (``in_order``): the parts, one after another by name, are the whole output."""
+    m = in_order(m)
     (to_legacy(m) if legacy else to_paf(m, jaccard)).write.mode("overwrite").text(path)
 
 
+def write_alignments(a: DataFrame, path: str) -> None:
+    """Write alignment lines in the same order."""
+    to_alignment_lines(in_order(a)).write.mode("overwrite").text(path)
+
+
 def to_alignment_lines(a: DataFrame) -> DataFrame:
     """The mapping's legacy line with error rate and cigar behind it."""
     parts = [F.col(c).cast("string") for c in COLUMNS] + [_six(F.col("identity") * 100), _six(F.col("error_rate")), F.col("cigar")]
