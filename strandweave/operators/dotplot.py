@@ -1,17 +1,21 @@
 """Layout of sequences along the axes of a dot plot, and its segments.
 
 Mappings have q_name, q_len, q_start, q_end, strand ('+' or '-'), ref_name, ref_len, ref_start, ref_end and identity.
-Each query is placed by its fattest mapping, that with the longest stretch of the target (then the largest
+By default each query is placed by its fattest mapping, that with the longest stretch of the target (then the largest
 target name and starts). A query has one such mapping, so placing is ordering: targets from long to short, and
-queries by their target and the place on it; no walk over the graph of mappings is needed.
+queries by their target and the place on it; no walk over the graph of mappings is needed. The other layout
+walks that graph, a component at a time.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.operators.graph import components
 from strandweave.operators.ordered import running_total
+from strandweave.session import settle
 
 
 def sequence_lengths(mappings: DataFrame, side: str) -> DataFrame:
@@ -19,13 +23,80 @@ def sequence_lengths(mappings: DataFrame, side: str) -> DataFrame:
     return mappings.groupBy(F.col(f"{side}_name").alias("name")).agg(F.max(f"{side}_len").alias("len"))
 
 
-def layout(mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Sides of the graph of mappings.
+REF, QUERY = 0, 1
+
+
+def span(links: pd.DataFrame) -> pd.DataFrame:
+    """Order and direction of the sequences of a component of the graph, from its ``links``, one for each pair that maps.
+
+    Links have the names, lengths, starts and ends on both sides, and ``slope`` (-1: backwards). From a sequence its unplaced
+    partners follow on the other side by where they lie on it; one that lies backwards is turned round, and all of its links
+    with it. A partner longer than the sequence is gone on from at once, shorter ones after all partners are placed. Walks
+    start at targets from long to short.
+    """
+    size: dict[tuple, int] = {}
+    at: dict[tuple, dict[tuple, list[int]]] = {}
+    slope: dict[frozenset, int] = {}
+    for r in links.itertuples(index=False):
+        a, b = (REF, r.ref_name), (QUERY, r.q_name)
+        size[a], size[b] = int(r.ref_len), int(r.q_len)
+        at.setdefault(a, {})[b] = [int(r.ref_start), int(r.ref_end)]
+        at.setdefault(b, {})[a] = [int(r.q_start), int(r.q_end)]
+        slope[frozenset((a, b))] = int(r.slope)
+    placed: dict[tuple, int] = {}
+
+    def place(one: tuple, by: tuple) -> None:
+        placed[one] = turn = slope[frozenset((one, by))]
+        if turn < 0:
+            for other, ends in at[one].items():
+                slope[frozenset((one, other))] *= -1
+                ends[:] = size[one] - ends[1], size[one] - ends[0]
+
+    def partners(one: tuple):
+        """Places partners one by one; yields those to go on from, in order."""
+        later = []
+        for other in sorted(at[one], key=lambda x: (at[one][x][0], x)):
+            if other not in placed:
+                place(other, one)
+                if size[other] > size[one]:
+                    yield other
+                else:
+                    later.append(other)
+        yield from later
+
+    for start in sorted((n for n in size if n[0] == REF), key=lambda n: (-size[n], n)):
+        stack = [partners(start)]
+        while stack:
+            following = next(stack[-1], None)
+            stack.append(partners(following)) if following else stack.pop()
+    first = min((-size[n], n[1]) for n in size if n[0] == REF)
+    rows = [(side, name, size[side, name], turn, *first, n) for n, ((side, name), turn) in enumerate(placed.items())]
+    return pd.DataFrame(rows, columns=["side", "name", "len", "direction", "_size", "_first", "_n"])
+
+
+def _spanning(mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    fat = F.struct((F.col("ref_end") - F.col("ref_start")).alias("n"), (-F.col("ref_start")).alias("r"), (-F.col("q_start")).alias("q"))
+    kept = [F.max_by(F.struct("ref_start", "ref_end", "q_start", "q_end", F.when(F.col("strand") == "-", -1).otherwise(1).alias("slope")), fat).alias("at"), F.max("q_len").alias("q_len"), F.max("ref_len").alias("ref_len")]
+    links = mappings.groupBy("q_name", "ref_name").agg(*kept).select("q_name", "ref_name", "q_len", "ref_len", "at.*")
+    # Equal hashes only put two components together, which are still walked one by one.
+    links = settle(links.withColumns({"a": F.xxhash64(F.lit(REF), "ref_name"), "b": F.xxhash64(F.lit(QUERY), "q_name")}))
+    roots = components(links.select("a", "b"))
+    found = settle(links.join(roots, F.col("a") == F.col("node")).drop("a", "b", "node").groupBy("root").applyInPandas(span, "side int, name string, len long, direction int, _size long, _first string, _n long"))
+    side = lambda which: running_total(found.where(F.col("side") == which), ["_size", "_first", "_n"], F.col("len") - 1, "offset").select("name", "len", "offset", "direction")
+    return side(REF), side(QUERY)
+
+
+def layout(mappings: DataFrame, fattest: bool = True) -> tuple[DataFrame, DataFrame]:
     """``name``, ``len``, ``offset`` and ``direction`` (-1: drawn backwards) of targets and of queries.
 
-    Targets that hold no query's fattest mapping come last, by name. Without mappings both are empty.
+    Targets that hold no query's fattest mapping come last, by name. Without mappings both are empty. If not by the ``fattest``,
+    all pairs that map span each other (see ``span``): sequences that a chain of mappings connects are one task's.
     """
-    span = F.struct(F.col("ref_end") - F.col("ref_start"), "ref_name", "ref_start", "q_start", "strand")
-    fat = mappings.groupBy(F.col("q_name").alias("name")).agg(F.max("q_len").alias("len"), F.max_by(F.struct("ref_name", "ref_len", "ref_start", "strand"), span).alias("at"))
+    if not fattest:
+        return _spanning(mappings)
+    longest = F.struct(F.col("ref_end") - F.col("ref_start"), "ref_name", "ref_start", "q_start", "strand")
+    fat = mappings.groupBy(F.col("q_name").alias("name")).agg(F.max("q_len").alias("len"), F.max_by(F.struct("ref_name", "ref_len", "ref_start", "strand"), longest).alias("at"))
     used = fat.select(F.col("at.ref_name").alias("name"), F.lit(True).alias("used")).distinct()
     targets = sequence_lengths(mappings, "ref").join(used, "name", "left").withColumn("_last", F.col("used").isNull())
     targets = targets.select("name", "len", "_last", F.when(F.col("_last"), 0).otherwise(-F.col("len")).alias("_size"), F.lit(1).alias("direction"))
