@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,5 +41,23 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str, right_rows: int,
 
 
 def as_many_parts(out: DataFrame, source: DataFrame) -> DataFrame:
-    """At most as many partitions as the source is read in, so that a row-wise result isn't left in crumbs."""
-    return out.coalesce(max(1, source._jdf.queryExecution().toRdd().getNumPartitions()))
+    """At most as many partitions as the source is read in, so that a row-wise result isn't left in crumbs.
+
+    Only for a plain scan: to know how many parts a shuffle makes, it would have to be run.
+    """
+    plan = source._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return out
+    return out.coalesce(max(1, plan.toRdd().getNumPartitions()))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: int):
+    """Inside, what is run hands its kernels batches of at most about ``size`` bytes; a batch of texts is held several times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
