@@ -40,9 +40,12 @@ _RAW = {"script", "style", "noscript", "textarea", "title", "iframe"}
 _UNSEEN, _CONTROLS = {"svg", "select", "template"}, {"button"}
 _MAY_BE_EMPTY = _RAW | _UNSEEN | _CONTROLS | {"object"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = set("a abbr b bdi bdo big cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del br".split())
 _CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _ITEMS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+#: Elements that end a block; all others, known or not, stand in the line of text around them.
+_BREAKS = _CLOSES_P | set(_ITEMS) | _RAW | _UNSEEN | _CONTROLS | set(
+    "html head body base link meta center caption col colgroup thead tbody tfoot figcaption hgroup legend menu dialog dir search summary optgroup datalist frameset frame noframes input embed audio video canvas marquee".split()
+)
 # Names that say a part of a page is no article text.
 _NOT_TEXT = set(
     "nav menu navbar breadcrumb breadcrumbs footer aside sidebar form login signup search ad ads advert advertisement sponsor sponsored promo banner cookie cookies consent notice gdpr "
@@ -89,7 +92,7 @@ class Path:
         out.other |= not words.isdisjoint(_NOT_TEXT)
         out.head |= "header" in words
         out.unseen |= tag in _UNSEEN
-        if tag not in _INLINE:
+        if tag in _BREAKS:
             out.control = tag in _CONTROLS
         return out
 
@@ -206,7 +209,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if not name:
             continue
         tag, names = name[0].lower(), page[name.end() : end]
-        if tag not in _INLINE:
+        if tag in _BREAKS:
             flush()
         elif tag == "br":
             text.append(" ")
