@@ -74,7 +74,8 @@ def drop_length_mismatches(mappings: DataFrame, identity: float) -> DataFrame:
 
 def sparsify(mappings: DataFrame, share: float, columns: list[str]) -> DataFrame:
     """A share of the mappings, chosen by a hash of their fields, so reruns agree."""
-    return mappings if share >= 1 else mappings.where(F.pmod(F.xxhash64(*columns), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])), 1, 12), 16, 10).cast("long")
+    return mappings if share >= 1 else mappings.where(drawn % 1_000_000 < int(share * 1_000_000))
 
 
 def clamp(mappings: DataFrame) -> DataFrame:

@@ -213,11 +213,12 @@ def near_dup_pairs(spark, sf_dir):
     return similar_fragments(_texts(spark, sf_dir), LENGTH, K_TEXT, SIZE, 0.9, 0.1, HASH)
 
 
-@query(f"select i::int as shared, round(case when i = 0 then 1.0 when i = 100 then 0.0 else 1 - pow(2 * (i / 100.0::double) / (1 + i / 100.0::double), 1.0::double / 19) end, 9) as distance, round(pow(1 - i / 200.0::double, 19) / (2 - pow(1 - i / 200.0::double, 19)), 9) as jaccard from range(0, 101) t(i)")
+@query(f"""with {MAPPINGS}, x as (select map_id, conserved, conserved / 20.0::double as j, pow(identity, 19) as p from maps)
+select map_id, round(case when conserved = 0 then 1.0 when conserved = 20 then 0.0 else 1 - pow(2 * j / (1 + j), 1.0::double / 19) end, 9) as distance, round(p / (2 - p), 9) as jaccard from x""")
 def mash_distance(spark, sf_dir):
-    i = F.col("id") / 100
-    r = spark.range(101)
-    return r.select(F.col("id").cast("int").alias("shared"), F.round(stats.j2md_column(i, 19), 9).alias("distance"), F.round(stats.md2j_column(F.col("id") / 200, 19), 9).alias("jaccard"))
+    """The distance that each mapping's shared hashes stand for, and the Jaccard that its identity does."""
+    m = _mappings(spark, sf_dir)
+    return m.select("map_id", F.round(stats.j2md_column(F.col("conserved") / F.col("sketch_size"), 19), 9).alias("distance"), F.round(stats.md2j_column(1 - F.col("identity"), 19), 9).alias("jaccard"))
 
 
 #: Cut-offs of a sketch of 1,000 hashes, as the plan's table has them for runs with larger ones.
@@ -391,7 +392,7 @@ def clamp(spark, sf_dir):
     return chains.clamp(_mappings(spark, sf_dir)).select("map_id", "ref_start", "ref_end", "q_start", "q_end")
 
 
-@query()
+@query(f"with {MAPPINGS} select map_id from maps where ('0x' || substr(md5(concat_ws('|', q_id, q_start, ref_id, ref_start)), 1, 12))::bigint % 1000000 < 250000")
 def sparsify(spark, sf_dir):
     return chains.sparsify(_mappings(spark, sf_dir), 0.25, ["q_id", "q_start", "ref_id", "ref_start"]).select("map_id")
 
@@ -517,6 +518,14 @@ def plot_layout(spark, sf_dir):
     return refs.union(queries)
 
 
+@query()
+def plot_layout_spanning(spark, sf_dir):
+    """Layout of users and targets by the walk over their mappings; it has no SQL form and is tested by recursion."""
+    m = _mappings(spark, sf_dir).withColumn("strand", F.when(F.col("strand") > 0, "+").otherwise("-"))
+    targets, queries = dotplot.layout(m, fattest=False)
+    return targets.select(F.lit("ref").alias("side"), "*").union(queries.select(F.lit("query").alias("side"), "*"))
+
+
 @query(f"""{_LAYOUT},
 m as (select map_id, identity, r.offset_at as r_off, q.offset_at as q_off, q.direction, q_len, ref_len, ref_start as x1, ref_end - 1 as x2, case when strand < 0 then q_end - 1 else q_start end as a, case when strand < 0 then q_start else q_end - 1 end as b
   from maps join lay r on r.side = 'ref' and r.name = ref_name join lay q on q.side = 'q' and q.name = q_name),
@@ -629,8 +638,19 @@ def align_benchmark(spark, sf_dir):
     return align(m, items.select("name", "seq"), texts.select("name", "seq"), 0.5).select("q_name", "ref_name", "ref_start", "edit_distance", "aln_len", F.round("error_rate", 6).alias("error_rate"), "cigar")
 
 
-@query()
+#: What overlaps of a sketch of 20 hashes are enough beside each best one, and for each sketch size by themselves.
+_ENOUGH = stats.hypergeometric_cutoffs(20, 19, 0.0, 0.999)
+_LEAST = [max(1, stats.minimum_hits_relaxed(n, 19, 0.85, 0.95)) for n in range(1, 21)]
+
+
+@query(f"""with {MAPPINGS}, b as (select q_id, max(conserved) as best from maps group by q_id)
+select map_id, list_extract({_ENOUGH}::int[], best + 1) as cutoff, list_extract({_LEAST}::int[], best)::int as min_hits, conserved >= greatest(list_extract({_ENOUGH}::int[], best + 1), list_extract({_LEAST}::int[], best)) as enough
+from maps join b using (q_id) where best > 0""")
 def cutoff_table(spark, sf_dir):
-    """Cut-offs of overlaps beside the best one, for the default parameters."""
-    rows = list(enumerate(stats.hypergeometric_cutoffs(100, 19, 0.0, 0.999)))
-    return spark.createDataFrame(rows, "best_hits int, cutoff int").join(seeds.minimum_hits_table(spark, 100, MapParams(sketch_size=100)), F.col("best_hits") == F.col("sketch_size"), "left").select("best_hits", "cutoff", "min_hits")
+    """Which mappings of a query share enough hashes beside its best one, by the table of cut-offs and the fewest hits for a size."""
+    m = _mappings(spark, sf_dir).withColumn("best", F.max("conserved").over(Window.partitionBy("q_id"))).where("best > 0")
+    least = seeds.minimum_hits_table(spark, 20, MapParams(sketch_size=20))
+    m = m.join(F.broadcast(least.select(F.col("sketch_size").alias("best"), "min_hits")), "best")
+    m = m.withColumn("cutoff", F.element_at(F.array(*map(F.lit, _ENOUGH)), F.col("best") + 1))
+    return m.select("map_id", "cutoff", "min_hits", (F.col("conserved") >= F.greatest("cutoff", "min_hits")).alias("enough"))
+
