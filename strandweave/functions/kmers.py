@@ -212,6 +212,21 @@ def hashed(text: str, k: int, algorithm: str = "xxhash64", alphabet: str = "dna"
     return np.minimum(forward, back), np.where(forward < back, 1, -1), clean & (forward != back)
 
 
+def hashed_each(texts: list[str], k: int, algorithm: str = "xxhash64", alphabet: str = "dna") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``hashed`` of each text, short ones joined: k-mers that reach from one into the next are left out."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= HASHED):
+            size += len(texts[end])
+            end += 1
+        made, start = hashed("".join(texts[at:end]), k, algorithm, alphabet), 0
+        for text in texts[at:end]:
+            yield tuple(x[start : start + max(0, len(text) - k + 1)] for x in made)
+            start += len(text)
+        at = end
+
+
 def _py_kmers(text: str, k: int) -> Iterator[tuple[int, str]]:
     return ((i, text[i : i + k]) for i in range(len(text) - k + 1))
 

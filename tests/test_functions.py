@@ -163,3 +163,19 @@ def test_cut_out_across_chunks(spark):
     spans = [(0, "a", 3, 9), (1, "a", A.CHUNK - 2, 2 * A.CHUNK + 5), (2, "a", A.CHUNK, A.CHUNK + 1)]
     got = {r._row: r.out for r in A.cut_out(spark.createDataFrame(spans, "_row long, name string, start long, end long"), seqs, "out").collect()}
     assert got == {i: text[a:b] for i, _, a, b in spans}
+
+
+def test_hashes_of_joined_texts(monkeypatch):
+    import random
+
+    import xxhash
+
+    monkeypatch.setattr(K, "HASHED", 40)
+    rng = random.Random(0)
+    texts = ["".join(rng.choices("ACGTNé中", k=rng.choice([0, 3, 11, 70]))) for _ in range(40)]
+    for k in (1, 5, 33):
+        for text, (hashes, strands, good) in zip(texts, K.hashed_each(texts, k, alphabet="text"), strict=True):
+            assert hashes.view("u8").tolist() == [xxhash.xxh64_intdigest(text[i : i + k].encode(), 42) for i in range(len(text) - k + 1)]
+        for text, made in zip(texts, K.hashed_each(texts, k), strict=True):
+            alone = K.hashed(text, k)
+            assert all((x[alone[2]] == y[alone[2]]).all() for x, y in zip(made[:2], alone[:2], strict=True)) and (made[2] == alone[2]).all()
