@@ -166,8 +166,6 @@ def test_cut_out_across_chunks(spark):
 
 
 def test_hashes_of_joined_texts(monkeypatch):
-    import random
-
     import xxhash
 
     monkeypatch.setattr(K, "HASHED", 40)
