@@ -1,8 +1,9 @@
 """Groups of texts with similar sets of word shingles, checked on the texts themselves.
 
 Two texts link if the Jaccard similarity of their sets of ``SHINGLE``-word shingles is ``SIMILAR`` or more. Equal
-sets are one node. Candidates share one of ``BANDS`` keys, each of ``ROWS`` minima of the set under different hashes: two
-sets of similarity s share none with a chance of ``(1 - s ** ROWS) ** BANDS``, 3 in a million at 0.8. Sizes and parity
+sets are one node. The first candidates are those of the fingerprints in ``simhash``. Among nodes that these leave apart,
+candidates share one of ``BANDS`` keys, each of ``ROWS`` minima of the set under different hashes: two sets of
+similarity s share none with a chance of ``(1 - s ** ROWS) ** BANDS``, 3 in a million at 0.8. Sizes and parity
 bitmaps rule most of the false ones out: sets whose bitmaps differ in more bits than similar sets of their sizes have
 elements apart are no link. All that is left is computed exactly on the texts. Keys with few nodes give all their pairs.
 In the others all nodes are compared with a center, the node that shares most keys with others: of a text and its copies
@@ -12,7 +13,7 @@ components, chunk by chunk, in the same two steps.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,12 +70,27 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in small(batches):
-        sets = [shingle_set(t) for t in b.column(2).to_pylist()]
-        same, keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))
-        size, bits = pa.array(list(map(len, sets)), pa.int64()), pa.array([parity(s).tobytes() for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), same, keys, size, bits], ["_row", "doc_id", "same", "keys", "size", "bits"])
+def _sketcher(fingerprint: Callable[[np.ndarray], int]):
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            sets = [shingle_set(t) for t in b.column(2).to_pylist()]
+            same, keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))
+            size, bits = pa.array(list(map(len, sets)), pa.int64()), pa.array([parity(s).tobytes() for s in sets], pa.binary())
+            fp = pa.array(np.array(list(map(fingerprint, sets)), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), same, keys, size, bits, fp], ["_row", "doc_id", "same", "keys", "size", "bits", "fp"])
+
+    return sketches
+
+
+def shingle_sets(docs: DataFrame, fingerprint: Callable[[np.ndarray], int]) -> DataFrame:
+    """The distinct sets: ``node`` (a row of it), ``keys``, ``size``, ``bits``, ``fp`` and the ``best`` of its rows.
+
+    ``docs`` has ``_row``, ``doc_id`` and ``text`` and gives the same rows whenever it is read.
+    """
+    made = docs.select("_row", "doc_id", "text").mapInArrow(_sketcher(fingerprint), "_row long, doc_id long, same binary, keys array<long>, size long, bits binary, fp long")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")
+    one = F.min(F.struct("_row", "keys", "size", "bits", "fp")).alias("x")
+    return settle(made.groupBy("same").agg(one, best).select(F.col("x._row").alias("node"), "x.keys", "x.size", "x.bits", "x.fp", "best"))
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -106,15 +122,15 @@ def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok))
 
 
-def _verified(nodes: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` whose ``texts`` (``node``, ``text``) are similar; only those are read whose sizes and bitmaps allow it."""
+def verified(nodes: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``b`` of nodes whose texts are similar; only those are read whose sizes and bitmaps allow it."""
     least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     about = [nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
     known = pairs.select(least, most).distinct().join(about[0], "a").join(about[1], "b")
     near = known.where(F.least("size_a", "size_b") >= SIMILAR * F.greatest("size_a", "size_b") - 1e-9)
     pairs = settle(near.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(_hopeful, "a long, b long"))
     ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = join_small(texts, ids, "node", "left_semi", ids.count())
+    texts = join_small(docs.select(F.col("_row").alias("node"), "text"), ids, "node", "left_semi", ids.count())
     named = [texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
     rows = pairs.join(named[1], "b").join(named[0], "a")
     with batches_of(texts.sparkSession, TEXT_BYTES):
@@ -160,20 +176,24 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["a", "b"])
 
 
-def _links(nodes: DataFrame, texts: DataFrame, members: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` that connect nodes just as all links among those of an equal key do."""
+def _links(nodes: DataFrame, docs: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` that connect nodes just as the ``known`` and all links among those of an equal key do.
+
+    ``members`` has ``key``, its ``n``, ``node`` and the ``root`` of what is known of it.
+    """
     few, many = members.where(F.col("n") <= FEW), members.where(F.col("n") > FEW)
     held = many.count()
-    left, right = few.select("key", F.col("node").alias("a")), few.select("key", F.col("node").alias("b"))
-    pairs = left.join(right, "key").where("a < b").select("a", "b")
+    left, right = few.select("key", F.col("node").alias("a"), F.col("root").alias("root_a")), few.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    pairs = left.join(right, "key").where("a < b and root_a <> root_b").select("a", "b")
     if held:
         weight = many.groupBy("node").agg(F.sum("n").alias("weight"))
-        centers = many.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("center"))
-        pairs = pairs.union(many.join(centers, "key").where("node <> center").select("center", "node"))
-    links = _verified(nodes, texts, pairs)
+        most = F.max_by(F.struct("node", "root"), F.struct("weight", "node")).alias("x")
+        centers = many.join(weight, "node").groupBy("key").agg(most).select("key", F.col("x.node").alias("center"), F.col("x.root").alias("center_root"))
+        pairs = pairs.union(many.join(centers, "key").where("root <> center_root").select("center", "node"))
+    links = known.union(verified(nodes, docs, pairs))
     if not held:
         return links
-    here = many.join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    here = many.drop("root").join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     sizes = here.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     keys = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     todo = here.join(keys.select("key", "m", F.col("most.root").alias("main"), F.col("most.c").alias("c")), "key").join(nodes.select("node", "size", "bits"), "node")
@@ -185,22 +205,20 @@ def _links(nodes: DataFrame, texts: DataFrame, members: DataFrame) -> DataFrame:
 
     rest = chunks(todo.where("root <> main"), F.col("m") - F.col("c"), "rest")
     near = rest.join(chunks(todo, F.col("m"), "others").drop("main"), "key").select("main", "rest", "others").mapInArrow(_near, "a long, b long")
-    return links.union(_verified(nodes, texts, near))
+    return links.union(verified(nodes, docs, near))
 
 
-def first_rows(docs: DataFrame) -> DataFrame:
+def first_rows(nodes: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
     """``_row`` of one document of each group of similar texts: that with the smallest doc_id, null being the last.
 
-    ``docs`` has ``_row``, ``doc_id`` and ``text`` and gives the same rows whenever it is read. Texts that are null or
-    have no word are one group.
+    ``nodes`` are the ``shingle_sets`` of ``docs``; ``known`` are links ``a``, ``b`` among them, found before. Only keys
+    whose nodes these don't connect are looked into. Texts that are null or have no word are one group.
     """
-    made = docs.select("_row", "doc_id", "text").mapInArrow(_sketches, "_row long, doc_id long, same binary, keys array<long>, size long, bits binary")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")
-    nodes = settle(made.groupBy("same").agg(F.min(F.struct("_row", "keys", "size", "bits")).alias("x"), best).select(F.col("x._row").alias("node"), "x.keys", "x.size", "x.bits", "best"))
-    each = nodes.select("node", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = settle(each.join(shared, "key"))
-    texts = docs.select(F.col("_row").alias("node"), "text")
-    roots = components(_links(nodes, texts, members))
+    found = settle(components(known))
+    near = nodes.select("node", "keys").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
+    apart = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    members = settle(near.join(apart.select("key", "n"), "key"))
+    stars = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(_links(nodes, docs, members, stars))
     named = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     return named.select(F.col("best._row").alias("_row"))

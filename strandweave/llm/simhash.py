@@ -25,6 +25,9 @@ from strandweave.operators.graph import components
 
 RADIUS = 4
 SEGMENTS = 5
+#: The same for the sets of shingles of ``first_of_each``, which also asks the texts.
+SET_RADIUS = 7
+SET_SEGMENTS = 8
 SHINGLE = 4
 SEED = 42
 #: A fingerprint of at least this share of all rows is hot: its rows aren't shuffled, and there are at most HOT such fingerprints.
@@ -36,6 +39,21 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
+def _counted(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit set."""
+    parts = hashes.view(np.uint8).reshape(-1, 8)
+    return np.concatenate([np.bincount(parts[:, byte], minlength=256) @ _BITS for byte in range(8)])
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return sum(1 << i for i in np.flatnonzero(counts * 2 > n).tolist())
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of a set of hashed shingles; 0 for the empty one."""
+    return _majority(_counted(hashes), len(hashes))
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The unsigned fingerprint of one text; 0 where it has no word."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -49,10 +67,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, len(starts), BLOCK):
         pairs = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)
-        parts = np.array([digest(joined[i:j], seed) for i, j in pairs], np.uint64).view(np.uint8).reshape(-1, 8)
-        for byte in range(8):
-            counts[8 * byte : 8 * byte + 8] += np.bincount(parts[:, byte], minlength=256) @ _BITS
-    return sum(1 << i for i in np.flatnonzero(counts * 2 > len(starts)).tolist())
+        counts += _counted(np.array([digest(joined[i:j], seed) for i, j in pairs], np.uint64))
+    return _majority(counts, len(starts))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,9 +83,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select("_row", "doc_id", "text").mapInArrow(_fingerprints, "_row long, doc_id long, fp long")
 
 
-def ring() -> list[int]:
+def ring(count: int = SEGMENTS) -> list[int]:
     """Bit masks of the segments, as even as 64 bits allow."""
-    cuts = [i * 64 // SEGMENTS for i in range(SEGMENTS + 1)]
+    cuts = [i * 64 // count for i in range(count + 1)]
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -78,13 +94,13 @@ def _halves(mask: int) -> list[int]:
     return [sum(1 << i for i in part) for part in (bits[: len(bits) // 2], bits[len(bits) // 2 :])]
 
 
-def key_masks(chain: int) -> list[tuple[int, int]]:
+def key_masks(chain: int, radius: int = RADIUS, around: int = SEGMENTS) -> list[tuple[int, int]]:
     """(start, mask) of the exact keys for chains of so many segments; a linked pair shares at least one.
 
     Past the equal first segment, ``chain - 1`` of the halves are equal whatever way the allowed differences
     fall; the sets of halves needed to meet every such way are listed once for each start.
     """
-    segments, shares = ring(), [(n * RADIUS) // SEGMENTS for n in range(1, chain + 1)]
+    segments, shares = ring(around), [(n * radius) // around for n in range(1, chain + 1)]
     count = 2 * (chain - 1)
     equal = set()
     for diffs in product(range(shares[-1] + 1), repeat=count):
@@ -95,31 +111,31 @@ def key_masks(chain: int) -> list[tuple[int, int]]:
     sets = [set(x) for x in combinations(range(count), least) if any(set(x) == e for e in equal)]
     assert all(any(s <= e for s in sets) for e in equal)
     out = []
-    for start in range(SEGMENTS):
-        halves = [h for n in range(1, chain) for h in _halves(segments[(start + n) % SEGMENTS])]
+    for start in range(around):
+        halves = [h for n in range(1, chain) for h in _halves(segments[(start + n) % around])]
         out += [(start, segments[start] | sum(halves[i] for i in s)) for s in sets]
     return out
 
 
-def _within(x: np.ndarray, start: np.ndarray | int, segments: np.ndarray) -> np.ndarray:
+def _within(x: np.ndarray, start: np.ndarray | int, segments: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Whether the differing bits ``x`` keep every chain from ``start`` within its share of the radius."""
     ok, total = np.ones(x.shape, bool), np.zeros(x.shape, np.uint8)
-    for n in range(SEGMENTS):
-        total = total + np.bitwise_count(x & segments[(start + n) % SEGMENTS])
-        ok &= total <= (n + 1) * RADIUS // SEGMENTS
+    for n in range(len(segments)):
+        total = total + np.bitwise_count(x & segments[(start + n) % len(segments)])
+        ok &= total <= (n + 1) * radius // len(segments)
         if not ok.any():
             break
     return ok
 
 
-def _forest(values: np.ndarray, start: int, segments: np.ndarray) -> tuple[list, list]:
+def _forest(values: np.ndarray, start: int, segments: np.ndarray, radius: int) -> tuple[list, list]:
     """Edges of a spanning forest of one key's links: each value is compared with what no edge has reached."""
     left, a, b = values, [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             v = queue.pop()
-            hit = _within(left ^ v, start, segments)
+            hit = _within(left ^ v, start, segments, radius)
             if hit.any():
                 got = left[hit]
                 a += [np.full(len(got), v)]
@@ -129,9 +145,9 @@ def _forest(values: np.ndarray, start: int, segments: np.ndarray) -> tuple[list,
     return a, b
 
 
-def _linker(starts: list[int]):
+def _linker(starts: list[int], radius: int, around: int):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, origin = np.array(ring(), np.uint64), np.array(starts)
+        segments, origin = np.array(ring(around), np.uint64), np.array(starts)
 
         def links(no, val, fp):
             a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
@@ -141,10 +157,10 @@ def _linker(starts: list[int]):
                 at = first[length == n]
                 for i, j in combinations(range(n), 2):
                     x, y = fp[at + i], fp[at + j]
-                    ok = _within(x ^ y, origin[no[at]], segments)
+                    ok = _within(x ^ y, origin[no[at]], segments, radius)
                     a.append(x[ok]), b.append(y[ok])
             for at, n in zip(first[length > 4].tolist(), length[length > 4].tolist(), strict=True):
-                more = _forest(fp[at : at + n], starts[no[at]], segments)
+                more = _forest(fp[at : at + n], starts[no[at]], segments, radius)
                 a += more[0]
                 b += more[1]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
@@ -166,18 +182,20 @@ def _linker(starts: list[int]):
     return linked
 
 
-def fingerprint_links(distinct: DataFrame, rows: int) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, rows: int, radius: int = RADIUS, around: int = SEGMENTS) -> DataFrame:
     """Edges ``a``, ``b`` that connect the distinct fingerprints ``fp`` just as all links do.
 
     Chains are taken long enough for the keys to be wider than the logarithm of the row count, so that
     unrelated fingerprints seldom share one; each length finds every link.
     """
-    chain = 2 if rows <= 1 << 21 else 3 if rows <= 1 << 28 else 4
-    masks = key_masks(chain)
+    for chain in (2, 3, 4):
+        masks = key_masks(chain, radius, around)
+        if rows <= 1 << min(m.bit_count() for _, m in masks) + chain + 1:
+            break
     signed = [m - (1 << 64) if m >> 63 else m for _, m in masks]
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("val")) for i, m in enumerate(signed)]))
     dealt = distinct.select("fp", keys.alias("k")).select("k.no", "k.val", "fp").repartition("no", "val").sortWithinPartitions("no", "val")
-    return dealt.mapInArrow(_linker([s for s, _ in masks]), "a long, b long").distinct()
+    return dealt.mapInArrow(_linker([s for s, _ in masks], radius, around), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -203,14 +221,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return as_many_parts(direct.unionByName(others), docs)
 
 
+def set_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of ``nodes`` (``node``, ``fp``) whose fingerprints are equal or within ``SET_RADIUS``.
+
+    Of nodes with equal fingerprints one stands for all: the others are paired with it, and it with those of other fingerprints.
+    """
+    named = settle(nodes.groupBy("fp").agg(F.min("node").alias("center")))
+    same = nodes.select("node", "fp").join(named, "fp").where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"))
+    a, b = (named.select(F.col("fp").alias(c), F.col("center").alias(f"center_{c}")) for c in "ab")
+    links = fingerprint_links(named.select("fp"), named.count(), SET_RADIUS, SET_SEGMENTS)
+    return same.union(links.join(a, "a").join(b, "b").select("center_a", "center_b"))
+
+
 def first_of_each(docs: DataFrame) -> DataFrame:
     """Keep one document of each near-duplicate group: that with the smallest doc_id (the first such row).
 
-    Groups are those of ``near_texts``: similar sets of five-word shingles. The radius of the fingerprints would lose most
-    of them. Texts that are null or have no word are one group; of repeated rows one stays; an empty table stays empty;
-    a document without doc_id stays only if its group has no other. Rows are written with an id once, so the result
-    holds for any input, also one whose rows come in another order each time.
+    Groups are of similar sets of five-word shingles. Fingerprints of the sets are linked by the pigeonring filter, and
+    what they link is checked on the texts. Pairs that are similar but beyond the radius are no group yet: ``near_texts``
+    finds them among what the fingerprints have left apart. Texts that are null or have no word are one group; of repeated
+    rows one stays; an empty table stays empty; a document without doc_id stays only if its group has no other. Rows are
+    written with an id once, so the result holds for any input, also one whose rows come in another order each time.
     """
     held = settle(with_row_id(docs, ROW))
-    rows = near_texts.first_rows(held.select(F.col(ROW).alias("_row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))).select(F.col("_row").alias(ROW))
+    texts = held.select(F.col(ROW).alias("_row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    nodes = near_texts.shingle_sets(texts, set_fingerprint)
+    links = near_texts.verified(nodes, texts, set_pairs(nodes))
+    rows = near_texts.first_rows(nodes, texts, links).select(F.col("_row").alias(ROW))
     return as_many_parts(held.join(rows, ROW, "left_semi").drop(ROW), docs)

@@ -68,3 +68,31 @@ def test_bitmaps_never_part_similar_sets():
         words = min(x.shape[1], y.shape[1])
         apart = np.bitwise_count(near_texts._folded(x, words) ^ near_texts._folded(y, words)).sum()
         assert apart <= len(one) + len(two) - 2 * n
+
+
+def test_stage_links_fingerprints_and_then_the_texts(spark, monkeypatch):
+    """The stage goes through the fingerprints' links; what they link is true, and all of it that is true is connected."""
+    rng, calls, links = random.Random(6), [], simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda *given: calls.append(given[2:]) or links(*given))
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts += [" ".join(base), " ".join(varied(rng, base, rng.randint(0, 6)))]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_row long, doc_id long, text string").repartition(3)
+    nodes = near_texts.shingle_sets(docs, simhash.set_fingerprint)
+    found = {(r.a, r.b) for r in near_texts.verified(nodes, docs, simhash.set_pairs(nodes)).collect()}
+    fp, sets = {r.node: r.fp for r in nodes.collect()}, [plain_shingles(t) for t in texts]
+    apart = {(i, j): bin((fp[i] ^ fp[j]) % (1 << 64)).count("1") for i, j in combinations(sorted(fp), 2)}
+    alike = {(i, j) for i, j in apart if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert found == {p for p in alike if apart[p] <= simhash.SET_RADIUS} and len(found) > 20 and found < alike
+    assert {r.doc_id for r in simhash.first_of_each(docs.drop("_row")).collect()} == plain_kept(texts)
+    assert calls == [(simhash.SET_RADIUS, simhash.SET_SEGMENTS)] * 2
+
+
+def test_wider_keys_miss_no_link():
+    rng, radius, around = random.Random(7), simhash.SET_RADIUS, simhash.SET_SEGMENTS
+    for chain in (2, 3, 4):
+        masks = simhash.key_masks(chain, radius, around)
+        for _ in range(2000):
+            apart = sum(1 << i for i in rng.sample(range(64), radius))
+            assert any(not apart & m for _, m in masks)
