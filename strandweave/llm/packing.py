@@ -16,10 +16,10 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,7 +28,7 @@ from strandweave.llm.common import settle, small, with_row_id
 
 #: Tokens of a sequence; the id after each document.
 ROOM, END = 4096, 1
-ENDING = END.to_bytes(4, "little")
+ENDING = np.array([END], np.dtype("<u4"))
 #: Words, and parts of words, whose ids a worker remembers, the first it meets; longer ones are tokenised anew each time.
 WORDS, WORD = 400_000, 64
 #: Words that are tokenised together.
@@ -71,28 +71,43 @@ class Words:
                 raise ValueError("the vocabulary does not mark the ends of words")
             yield from ((w, ids[i:j].tobytes()) for w, i, j in zip(own, cuts, cuts[1:], strict=False))
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> list[str]:
+        """Add what is new; returns the parts that were."""
         simple = {w: PARTS.findall(w.lower()) for w in new if (not w or w.isascii() or max(w) < "\u0180" and "\u0130" not in w) and "<|" not in w}
-        self.parts.update(self._tokenise(list({p for own in simple.values() for p in own}.difference(self.parts))))
+        parts = list({p for own in simple.values() for p in own}.difference(self.parts))
+        self.parts.update(self._tokenise(parts))
         self.words.update((w, b"".join(map(self.parts.__getitem__, own))) for w, own in simple.items())
         others = [w for w in new if w not in simple]
         self.words.update(zip(others, (i.tobytes() for i in self._plain(others)), strict=True))
+        return parts
 
-    def _forget(self, known: dict[str, bytes], before: int) -> None:
-        """Leave out what came after the first ``before`` if it is too long or too much."""
-        for w in list(islice(known, before, None)):
+    def _forget(self, known: dict[str, bytes], new: list[str]) -> None:
+        """Leave out what of the new is too long or too much."""
+        for w in new:
             if len(w) > WORD or len(known) > WORDS:
                 del known[w]
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, followed by the end."""
-        texts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        before = len(self.words), len(self.parts)
-        self._learn(list({w for own in texts for w in own}.difference(self.words)))
-        out = [np.frombuffer(b"".join(map(self.words.__getitem__, own)) + ENDING, np.dtype("<u4")) for own in texts]
-        self._forget(self.words, before[0])
-        self._forget(self.parts, before[1])
-        return out
+    def ids(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """The ids of each text, followed by the end.
+
+        Words are told apart and counted by Arrow, so that Python sees each once a batch, however often it comes.
+        """
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        for space in "\n\t\r":
+            texts = pc.replace_substring(texts, space, " ")
+        split = pc.split_pattern(texts, " ")
+        code = split.flatten().dictionary_encode()
+        own = pc.binary_join(pa.ListArray.from_arrays([0, len(code.dictionary)], code.dictionary), " ")[0].as_py().split(" ")  # faster than to_pylist
+        new = [w for w in own if w not in self.words]
+        parts = self._learn(new)
+        made = pa.array(map(self.words.__getitem__, own), pa.large_binary())
+        self._forget(self.words, new)
+        self._forget(self.parts, parts)
+        flat = made.take(code.indices)
+        _, starts, data = flat.buffers()
+        tokens = np.frombuffer(data or b"", np.dtype("<u4"))
+        cuts = np.frombuffer(starts, np.int64)[split.offsets.to_numpy()].tolist()
+        return [np.concatenate([tokens[i // 4 : j // 4], ENDING]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -105,10 +120,10 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _words(path)
-        for b in small(batches, 256, 1 << 20):
+        for b in small(batches, 1024, 4 << 20):
             rows, ids = b.column(0).to_numpy(), b.column(1).to_pylist()
             out = []
-            for row, doc, tokens in zip(rows.tolist(), ids, made.ids([t or "" for t in b.column(2).to_pylist()]), strict=True):
+            for row, doc, tokens in zip(rows.tolist(), ids, made.ids(pc.fill_null(b.column(2), "")), strict=True):
                 for n, at in enumerate(range(0, len(tokens), room)):
                     part = tokens[at : at + room]
                     out.append((row, doc, n, at, len(part), zlib.crc32(part.tobytes())))

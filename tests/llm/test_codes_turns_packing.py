@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -203,6 +204,20 @@ def test_word_ids_equal_the_library(library, monkeypatch):
         assert [i.tolist() for n in range(0, len(texts), 500) for i in words.ids(texts[n : n + 500])] == want
 
 
+def test_words_are_looked_up_once_a_batch(library):
+    class Counted(dict):
+        seen = 0
+
+        def __getitem__(self, key):
+            Counted.seen += 1
+            return super().__getitem__(key)
+
+    words, texts = packing.Words(WORDS), ["left out", *["one two\tthree  " * 500] * 8, "", " ", "four"]
+    words.words = Counted()
+    want = [e.ids + [1] for e in library.encode_batch(texts[1:], add_special_tokens=False)]
+    assert [i.tolist() for i in words.ids(pa.array(texts)[1:])] == want and Counted.seen == 5
+
+
 def best_sum(items, room):
     reach = {0}
     for i in items:
