@@ -28,6 +28,8 @@ SEGMENTS = 5
 #: The same for the sets of shingles of ``first_of_each``, which also asks the texts.
 SET_RADIUS = 7
 SET_SEGMENTS = 8
+#: Nodes up to which their chains have 3 segments: 40 keys, and a thousand nodes a key at most where all are unrelated.
+SET_NODES = 1 << 26
 SHINGLE = 4
 SEED = 42
 #: A fingerprint of at least this share of all rows is hot: its rows aren't shuffled, and there are at most HOT such fingerprints.
@@ -35,6 +37,9 @@ HOT = 1000
 #: Shingles hashed at a time, so that a very long text needs bounded memory beside itself.
 BLOCK = 200_000
 
+#: Fingerprints of a key up to which all pairs are looked over at once for any within the radius.
+AT_ONCE = 512
+
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -160,7 +165,10 @@ def _linker(starts: list[int], radius: int, around: int):
                     ok = _within(x ^ y, origin[no[at]], segments, radius)
                     a.append(x[ok]), b.append(y[ok])
             for at, n in zip(first[length > 4].tolist(), length[length > 4].tolist(), strict=True):
-                more = _forest(fp[at : at + n], starts[no[at]], segments, radius)
+                own = fp[at : at + n]
+                if n <= AT_ONCE and np.count_nonzero(np.bitwise_count(own[:, None] ^ own) <= radius) == n:
+                    continue  # each is near itself only
+                more = _forest(own, starts[no[at]], segments, radius)
                 a += more[0]
                 b += more[1]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
@@ -182,15 +190,15 @@ def _linker(starts: list[int], radius: int, around: int):
     return linked
 
 
-def fingerprint_links(distinct: DataFrame, rows: int, radius: int = RADIUS, around: int = SEGMENTS) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, rows: int, radius: int = RADIUS, around: int = SEGMENTS, chain: int | None = None) -> DataFrame:
     """Edges ``a``, ``b`` that connect the distinct fingerprints ``fp`` just as all links do.
 
-    Chains are taken long enough for the keys to be wider than the logarithm of the row count, so that
-    unrelated fingerprints seldom share one; each length finds every link.
+    If their length isn't given, chains are taken long enough for the keys to be wider than the logarithm of
+    the row count, so that unrelated fingerprints seldom share one; each length finds every link.
     """
-    for chain in (2, 3, 4):
-        masks = key_masks(chain, radius, around)
-        if rows <= 1 << min(m.bit_count() for _, m in masks) + chain + 1:
+    for length in [chain] if chain else [2, 3, 4]:
+        masks = key_masks(length, radius, around)
+        if rows <= 1 << min(m.bit_count() for _, m in masks) + length + 1:
             break
     signed = [m - (1 << 64) if m >> 63 else m for _, m in masks]
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("val")) for i, m in enumerate(signed)]))
@@ -229,7 +237,8 @@ def set_pairs(nodes: DataFrame) -> DataFrame:
     named = settle(nodes.groupBy("fp").agg(F.min("node").alias("center")))
     same = nodes.select("node", "fp").join(named, "fp").where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"))
     a, b = (named.select(F.col("fp").alias(c), F.col("center").alias(f"center_{c}")) for c in "ab")
-    links = fingerprint_links(named.select("fp"), named.count(), SET_RADIUS, SET_SEGMENTS)
+    count = named.count()
+    links = fingerprint_links(named.select("fp"), count, SET_RADIUS, SET_SEGMENTS, 3 if count <= SET_NODES else 4)  # longer chains have 112 keys, which fill the disk
     return same.union(links.join(a, "a").join(b, "b").select("center_a", "center_b"))
 
 

@@ -86,7 +86,7 @@ def test_stage_links_fingerprints_and_then_the_texts(spark, monkeypatch):
     alike = {(i, j) for i, j in apart if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert found == {p for p in alike if apart[p] <= simhash.SET_RADIUS} and len(found) > 20 and found < alike
     assert {r.doc_id for r in simhash.first_of_each(docs.drop("_row")).collect()} == plain_kept(texts)
-    assert calls == [(simhash.SET_RADIUS, simhash.SET_SEGMENTS)] * 2
+    assert calls == [(simhash.SET_RADIUS, simhash.SET_SEGMENTS, 3)] * 2
 
 
 def test_wider_keys_miss_no_link():
