@@ -35,6 +35,8 @@ PIECE = 32_768
 RUN = 4_096
 #: Characters from the start of a part that may settle how it is split (a contraction of three).
 LOOK = 3
+#: Pieces encoded at a time: while their tokens are Python lists, each takes about a megabyte.
+PIECES = 16
 
 
 def vocabulary(json_path: str) -> dict[bytes, int]:
@@ -170,7 +172,7 @@ def _encode_whole(path: str):
 def _encode_pieces(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in small(batches, 64):
+        for b in small(batches, PIECES):
             made = [c.piece(t) for t in b.column(4).to_pylist()]
             cuts = pa.array([np.array(m[1], np.int32).tobytes() for m in made], pa.binary())
             counts = pa.array([np.array(list(map(len, m[2])), np.int32).tobytes() for m in made], pa.binary())

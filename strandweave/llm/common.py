@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.session import settle  # noqa: F401
+from strandweave.session import parts, settle  # noqa: F401
 
 #: Rows and bytes of what a kernel over whole texts takes at a time. Spark itself bounds a batch by 64 MB.
 TEXT_ROWS, TEXT_BYTES = 1000, 8 << 20
 
+#: Rows for each file of a settled table that holds texts, or on whose rows a kernel has much to do.
+PART_ROWS = 5000
+
 #: A row id beside columns that are not ours, and so what ours are called there.
 ROW = "__sw_row"
 

@@ -75,7 +75,7 @@ def sample_counts(docs: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
     (about a megabyte each at 1,000 documents of 2,000 bytes) and independent of the number of documents.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = settle(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
+    counts = settle(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), 1)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40) < sample / F.col("_n")
     rows = join_small(labelled.select("doc_id", "lang", "text"), counts, "lang", "inner", counts.count()).where(drawn).select(F.col("lang").cast("string"), "text")
     grams = rows.mapInArrow(_count, "lang string, key long, n long")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import TEXT_BYTES, batches_of, join_small, settle, small
+from strandweave.llm.common import PART_ROWS, TEXT_BYTES, batches_of, join_small, settle, small
 from strandweave.operators.graph import components
 
 SHINGLE = 5
@@ -82,15 +82,18 @@ def _sketcher(fingerprint: Callable[[np.ndarray], int]):
     return sketches
 
 
-def shingle_sets(docs: DataFrame, fingerprint: Callable[[np.ndarray], int]) -> DataFrame:
+def shingle_sets(docs: DataFrame, fingerprint: Callable[[np.ndarray], int], rows: int | None = None) -> DataFrame:
     """The distinct sets: ``node`` (a row of it), ``keys``, ``size``, ``bits``, ``fp`` and the ``best`` of its rows.
 
-    ``docs`` has ``_row``, ``doc_id`` and ``text`` and gives the same rows whenever it is read.
+    ``docs`` has ``_row``, ``doc_id`` and ``text`` and gives the same rows whenever it is read. Here and below ``rows``, their
+    number, says how many files tables are settled to; nothing else depends on it.
     """
     made = docs.select("_row", "doc_id", "text").mapInArrow(_sketcher(fingerprint), "_row long, doc_id long, same binary, keys array<long>, size long, bits binary, fp long")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")
     one = F.min(F.struct("_row", "keys", "size", "bits", "fp")).alias("x")
-    return settle(made.groupBy("same").agg(one, best).select(F.col("x._row").alias("node"), "x.keys", "x.size", "x.bits", "x.fp", "best"))
+    sets = made.groupBy("same").agg(one, best).select(F.col("x._row").alias("node"), "x.keys", "x.size", "x.bits", "x.fp", "best")
+    with batches_of(docs.sparkSession, TEXT_BYTES):
+        return settle(sets, rows, PART_ROWS)
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -122,19 +125,20 @@ def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(ok))
 
 
-def verified(nodes: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(nodes: DataFrame, docs: DataFrame, pairs: DataFrame, rows: int | None = None) -> DataFrame:
     """The pairs ``a``, ``b`` of nodes whose texts are similar; only those are read whose sizes and bitmaps allow it."""
     least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     about = [nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
     known = pairs.select(least, most).distinct().join(about[0], "a").join(about[1], "b")
     near = known.where(F.least("size_a", "size_b") >= SIMILAR * F.greatest("size_a", "size_b") - 1e-9)
-    pairs = settle(near.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(_hopeful, "a long, b long"))
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    with batches_of(nodes.sparkSession, TEXT_BYTES):
+        pairs = settle(near.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(_hopeful, "a long, b long"), rows, PART_ROWS)
+    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), rows)
     texts = join_small(docs.select(F.col("_row").alias("node"), "text"), ids, "node", "left_semi", ids.count())
     named = [texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
-    rows = pairs.join(named[1], "b").join(named[0], "a")
+    beside = pairs.join(named[1], "b").join(named[0], "a")
     with batches_of(texts.sparkSession, TEXT_BYTES):
-        return settle(rows.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"))
+        return settle(beside.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"), rows, PART_ROWS)
 
 
 def _members(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
@@ -176,7 +180,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["a", "b"])
 
 
-def _links(nodes: DataFrame, docs: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
+def _links(nodes: DataFrame, docs: DataFrame, members: DataFrame, known: DataFrame, rows: int | None) -> DataFrame:
     """Links ``a``, ``b`` that connect nodes just as the ``known`` and all links among those of an equal key do.
 
     ``members`` has ``key``, its ``n``, ``node`` and the ``root`` of what is known of it.
@@ -190,35 +194,35 @@ def _links(nodes: DataFrame, docs: DataFrame, members: DataFrame, known: DataFra
         most = F.max_by(F.struct("node", "root"), F.struct("weight", "node")).alias("x")
         centers = many.join(weight, "node").groupBy("key").agg(most).select("key", F.col("x.node").alias("center"), F.col("x.root").alias("center_root"))
         pairs = pairs.union(many.join(centers, "key").where("root <> center_root").select("center", "node"))
-    links = known.union(verified(nodes, docs, pairs))
+    links = known.union(verified(nodes, docs, pairs, rows))
     if not held:
         return links
-    here = many.drop("root").join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    here = many.drop("root").join(components(links, rows), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     sizes = here.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     keys = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     todo = here.join(keys.select("key", "m", F.col("most.root").alias("main"), F.col("most.c").alias("c")), "key").join(nodes.select("node", "size", "bits"), "node")
-    todo = settle(todo)
+    todo = settle(todo, rows, PART_ROWS)
 
-    def chunks(rows: DataFrame, count, name: str) -> DataFrame:
-        dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(count / CHUNK)))
+    def chunks(of: DataFrame, count, name: str) -> DataFrame:
+        dealt = of.withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(count / CHUNK)))
         return dealt.groupBy("key", "main", "chunk").agg(F.collect_list(F.struct("node", "root", "size", "bits")).alias(name)).drop("chunk")
 
     rest = chunks(todo.where("root <> main"), F.col("m") - F.col("c"), "rest")
     near = rest.join(chunks(todo, F.col("m"), "others").drop("main"), "key").select("main", "rest", "others").mapInArrow(_near, "a long, b long")
-    return links.union(verified(nodes, docs, near))
+    return links.union(verified(nodes, docs, near, rows))
 
 
-def first_rows(nodes: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+def first_rows(nodes: DataFrame, docs: DataFrame, known: DataFrame, rows: int | None = None) -> DataFrame:
     """``_row`` of one document of each group of similar texts: that with the smallest doc_id, null being the last.
 
     ``nodes`` are the ``shingle_sets`` of ``docs``; ``known`` are links ``a``, ``b`` among them, found before. Only keys
     whose nodes these don't connect are looked into. Texts that are null or have no word are one group.
     """
-    found = settle(components(known))
+    found = settle(components(known, rows), rows)
     near = nodes.select("node", "keys").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
     apart = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    members = settle(near.join(apart.select("key", "n"), "key"))
+    members = settle(near.join(apart.select("key", "n"), "key"), rows, PART_ROWS)
     stars = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(_links(nodes, docs, members, stars))
+    roots = components(_links(nodes, docs, members, stars, rows), rows)
     named = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     return named.select(F.col("best._row").alias("_row"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm import near_texts
-from strandweave.llm.common import ROW, as_many_parts, settle, small, with_row_id
+from strandweave.llm.common import PART_ROWS, ROW, as_many_parts, parts, settle, small, with_row_id
 from strandweave.operators.graph import components
 
 RADIUS = 4
@@ -229,12 +229,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return as_many_parts(direct.unionByName(others), docs)
 
 
-def set_pairs(nodes: DataFrame) -> DataFrame:
+def set_pairs(nodes: DataFrame, rows: int | None = None) -> DataFrame:
     """Pairs ``a``, ``b`` of ``nodes`` (``node``, ``fp``) whose fingerprints are equal or within ``SET_RADIUS``.
 
     Of nodes with equal fingerprints one stands for all: the others are paired with it, and it with those of other fingerprints.
     """
-    named = settle(nodes.groupBy("fp").agg(F.min("node").alias("center")))
+    named = settle(nodes.groupBy("fp").agg(F.min("node").alias("center")), rows)
     same = nodes.select("node", "fp").join(named, "fp").where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"))
     a, b = (named.select(F.col("fp").alias(c), F.col("center").alias(f"center_{c}")) for c in "ab")
     count = named.count()
@@ -251,9 +251,10 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     rows one stays; an empty table stays empty; a document without doc_id stays only if its group has no other. Rows are
     written with an id once, so the result holds for any input, also one whose rows come in another order each time.
     """
-    held = settle(with_row_id(docs, ROW))
+    count = docs.count()
+    held = settle(with_row_id(docs, ROW), count, PART_ROWS)
     texts = held.select(F.col(ROW).alias("_row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    nodes = near_texts.shingle_sets(texts, set_fingerprint)
-    links = near_texts.verified(nodes, texts, set_pairs(nodes))
-    rows = near_texts.first_rows(nodes, texts, links).select(F.col("_row").alias(ROW))
-    return as_many_parts(held.join(rows, ROW, "left_semi").drop(ROW), docs)
+    nodes = near_texts.shingle_sets(texts, set_fingerprint, count)
+    links = near_texts.verified(nodes, texts, set_pairs(nodes, count), count)
+    rows = near_texts.first_rows(nodes, texts, links, count).select(F.col("_row").alias(ROW))
+    return held.join(rows, ROW, "left_semi").drop(ROW).coalesce(parts(count, PART_ROWS))

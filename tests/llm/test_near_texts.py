@@ -96,3 +96,33 @@ def test_wider_keys_miss_no_link():
         for _ in range(2000):
             apart = sum(1 << i for i in rng.sample(range(64), radius))
             assert any(not apart & m for _, m in masks)
+
+
+def test_small_tables_are_settled_to_few_files(spark, monkeypatch):
+    """Each file of an executor costs it processes, so their number follows the rows, not the shuffle partitions or the input's."""
+    rng, kind, files = random.Random(8), type(spark.range(0)), []
+
+    def counted(self, *given, plain=kind.checkpoint, **more):
+        out = plain(self, *given, **more)
+        files.append(out.rdd.getNumPartitions())
+        return out
+
+    texts = []
+    for _ in range(20):
+        base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        texts += [" ".join(base), " ".join(varied(rng, base, rng.randint(0, 3)))]
+    hot = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts += [" ".join(varied(rng, hot, rng.randint(0, 4))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(23)
+    set_to = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in set_to}
+    monkeypatch.setattr(kind, "checkpoint", counted)
+    try:
+        for k, v in set_to.items():
+            spark.conf.set(k, v)
+        out = simhash.first_of_each(docs)
+        assert {r.doc_id for r in out.collect()} == plain_kept(texts)
+        assert out.rdd.getNumPartitions() <= 6 and len(files) > 10 and max(files) <= 6
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
